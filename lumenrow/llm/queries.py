@@ -9,19 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .common import documents
+from .language import identify
+from .license_scan import license_scan
 from .media_ts import media_columns
+from .minhash import near_duplicates
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
 
 
 def op4_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op10_mpeg_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe_prefix_dp, op10_mpeg_transport_stream)}
+    return {f.__name__: f for f in (op1_license_scan, op4_bpe_prefix_dp, op5_minhash_near_dedup, op6_ppm_language, op10_mpeg_transport_stream)}
 
 
 def oracle_sql() -> dict[str, str]:
