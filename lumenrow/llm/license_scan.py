@@ -27,7 +27,7 @@ NOTICES = {
     "redistribution and use in source and binary forms": "bsd",
     "licensed under the apache license version 2 0": "apache",
     "this program is free software you can redistribute it and or modify": "gpl-notice",
-    "licensed under the mit license": "mit-mention",
+    "under the mit license": "mit-mention",
     "released under the creative commons attribution": "cc-notice",
     "this work is licensed under a creative commons": "cc-notice",
     "mozilla public license version 2 0": "mpl",
