@@ -20,7 +20,7 @@ from .common import cut
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 # Words in a host that label a URL as unwanted when no labels are given.
 SEEDS = ("pills", "casino", "spam", "viagra", "porn", "lottery", "payday", "replica")
-BINS, ROUNDS, RATE, SMOOTH, SAMPLE = 12, 12, 0.4, 1.0, 20_000
+BINS, ROUNDS, RATE, SMOOTH, SAMPLE, SUFFIXES = 12, 12, 0.4, 1.0, 20_000, 64
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -56,7 +56,15 @@ def entropy(text: Column, letters: str = "abcdefghijklmnopqrstuvwxyz0123456789-.
     return F.when(n > 0, F.log2(F.greatest(n, F.lit(1.0))) - bits / F.greatest(n, F.lit(1.0))).otherwise(0.0)
 
 
-def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
+def suffix(host: Column) -> Column:
+    return F.substring_index(host, ".", -1)
+
+
+def features(url: Column, host: Column, path: Column, odds: dict[str, float]) -> dict[str, Column]:
+    """``odds``: log odds of label 1 by suffix, smoothed; 0 for others."""
+    known = F.lit(0.0)
+    for name, value in odds.items():
+        known = F.when(suffix(host) == name, F.lit(value)).otherwise(known)
     text = F.coalesce(url, F.lit(""))
     length = F.length(text)
     return {
@@ -70,6 +78,7 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "fragment": text.contains("#").cast("double"),
         "secure": text.startswith("https://").cast("double"),
         "entropy": entropy(host),
+        "suffix": known,
     }
 
 
@@ -84,6 +93,7 @@ class UrlTrees:
     """Bin edges of each feature, log odds of suffixes, and trees ((feature, bin), two (feature, bin), four leaves)."""
 
     def __init__(self) -> None:
+        self.odds: dict[str, float] = {}
         self.edges: dict[str, list[float]] = {}
         self.trees: list[tuple] = []
         self.base = 0.0
@@ -95,8 +105,12 @@ class UrlTrees:
             out = out + F.when(bins[f] <= b, side[0]).otherwise(side[1])
         return 1 / (1 + F.exp(-out))
 
-    def probability(self, url: Column, host: Column, path: Column) -> Column:
-        return self.score({k: _bin(v, self.edges[k]) for k, v in features(url, host, path).items() if self.edges.get(k)} | {k: F.lit(0) for k, e in self.edges.items() if not e})
+    def judged(self, urls: DataFrame) -> DataFrame:
+        """``urls`` (url, host, path and others) with ``probability``; features, bins and score are columns one after another, so none is computed twice."""
+        own = urls.columns
+        known = urls.select(*own, *[v.alias(f"__f_{k}") for k, v in features(F.col("url"), F.col("host"), F.col("path"), self.odds).items() if k in self.edges])
+        binned = known.select(*own, *[_bin(F.col(f"__f_{k}"), e).alias(f"__b_{k}") for k, e in self.edges.items()])
+        return binned.select(*own, self.score({k: F.col(f"__b_{k}") for k in self.edges}).alias("probability"))
 
 
 def _gain(g: float, h: float) -> float:
@@ -126,8 +140,10 @@ def train(urls: DataFrame, rounds: int = ROUNDS) -> UrlTrees:
         some = urls.filter(F.col("label") == label).filter("url is not null").groupBy("url", "label").agg(F.count("*").alias("n")).orderBy(F.xxhash64("url"), "url").limit(SAMPLE)
         picked = some if picked is None else picked.union(some)
     host, path = host_path(F.col("url"))
-    values = picked.select("label", *[v.alias(k) for k, v in features(F.col("url"), host, path).items()])
-    values = cut(values.coalesce(1), "urls")
+    picked = cut(picked.coalesce(1), "urls").coalesce(1)
+    by_suffix = picked.groupBy(suffix(host).alias("s")).agg(F.sum("label").alias("pos"), F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
+    model.odds = {r.s: round(math.log((r.pos + 1) / (r.n - r.pos + 1)), 6) for r in by_suffix}
+    values = cut(picked.select("label", *[v.alias(k) for k, v in features(F.col("url"), host, path, model.odds).items()]), "features").coalesce(1)
     names = values.columns[1:]
     quantiles = values.agg(*[F.percentile_approx(k, [i / BINS for i in range(1, BINS)], 10_000).alias(k) for k in names], F.sum("label").alias("pos"), F.count("*").alias("all")).first()
     model.edges = {k: sorted(set(quantiles[k] or [])) for k in names}
@@ -177,9 +193,8 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: dict[str, st
         labels = plain.select("url", F.when(host.rlike("|".join(SEEDS)), 1).otherwise(0).alias("label"))
     model = train(labels)
     rule = rule_of(F.col("host"), F.col("path"), rules)
-    chance = model.probability(F.col("url"), F.col("host"), F.col("path"))
     verdict = F.lit(None).cast("string")
     for r, v in rules.items():
         verdict = F.when(F.col("rule") == r, F.lit(v)).otherwise(verdict)
-    told = plain.withColumns({"host": host, "path": path}).withColumn("rule", rule).withColumn("probability", chance)
+    told = model.judged(plain.withColumns({"host": host, "path": path})).withColumn("rule", rule)
     return told.select("page_id", "host", "path", "rule", F.coalesce(verdict, F.when(F.col("probability") > threshold, "block").otherwise("allow")).alias("verdict"), "probability")
