@@ -1,7 +1,8 @@
 """Language-model scoring by cross-entropy difference (Moore and Lewis, 2010).
 
 Two bigram models, one of target documents and one of the whole corpus, share one
-vocabulary, one table layout and one smoothing.  A document's score is the mean
+vocabulary, one table layout and one way of smoothing: pairs are pulled to single
+words, the target's words to the background's, and these to all words alike.  A document's score is the mean
 over its words of background loss minus target loss, in bits: high for text like
 the target's.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .textwords import mix, slices, stream, strings, word_hashes
 
-VOCABULARY, PAIR_BITS, PRIOR = 32_768, 21, 64.0
+VOCABULARY, PAIR_BITS, PRIOR, PULL = 32_768, 21, 64.0, 32_768.0
 _U = np.uint64
 _PAIR = stream(19, 2) | _U(1)
 _HELD = 2_000_000  # distinct words that a task holds before it hands them on
@@ -74,9 +75,10 @@ class Models:
         slot = pair_slots(ids)
         before = np.concatenate(([0], ids[:-1])) if len(ids) else ids
         out = np.zeros((2, len(bounds) - 1))
+        alone = np.full(len(self.words[0]), 1 / len(self.words[0]))
         for m in (0, 1):
             one = self.words[m].astype(np.float64)
-            alone = (one + 1) / (one.sum() + len(one))
+            alone = (one + PULL * alone) / (one.sum() + PULL)  # background: pulled to all words alike; target: to the background
             both = np.minimum(self.pairs[m][slot], np.minimum(one[before], one[ids]))  # words that share a slot can't add more than either has
             p = np.where(first, alone[ids], (both + PRIOR * alone[ids]) / (one[before] + PRIOR))
             total = np.concatenate(([0.0], np.cumsum(-np.log2(p))))
