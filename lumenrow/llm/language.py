@@ -74,7 +74,8 @@ class ContextTrees:
         grams = [self._grams(texts[x]) for x in self.languages]
         for k in range(order + 1):
             seen = [np.unique(g[k], return_counts=True) for g in grams]
-            rows = np.unique(np.concatenate([s for s, _ in seen])) if seen else np.zeros(0, np.uint64)
+            contexts = [g[k + 1] >> _U(8) for g in grams] if k < order else []  # those at a text's start aren't n-grams themselves
+            rows = np.unique(np.concatenate([*[s for s, _ in seen], *contexts])) if seen else np.zeros(0, np.uint64)
             shorter = self._below(rows, k, width)
             for j, (keys, counts) in enumerate(seen):
                 at = np.searchsorted(rows, keys)
