@@ -44,7 +44,7 @@ def absolute(args: list[Value]) -> Value:
         return Value(f"abs({V.real_of(v)})", "real")
     if v.kind == "dyn":
         return Value(V.let([v.sql], lambda d: f"CASE WHEN {d} IS NULL THEN NULL WHEN {d}.k = 1 AND NOT {d}.f THEN {V.dyn_int(f'abs({d}.i)')} ELSE {V.let([f'abs({V.real_of(Value(d, _DYN))})'], V.dyn_real)} END"), "dyn")
-    return Value(f"abs({V.as_int(v)})", "real" if v.kind == "real" else "int")
+    return Value(f"abs({v.sql if v.kind == 'real' else V.wide(v)})", "real" if v.kind == "real" else "int")
 
 
 def sign(args: list[Value]) -> Value:

@@ -81,6 +81,11 @@ def as_int(v: Value) -> str:
     return f"CAST({v.sql} AS BIGINT)" if v.kind == "bool" else v.sql
 
 
+def wide(v: Value) -> str:
+    """As a 64-bit integer: what is computed never overflows a narrower column's type."""
+    return v.sql if v.is_const else f"CAST({v.sql} AS BIGINT)"
+
+
 def shown(v: Value) -> Value:
     """A truth value as the number that the dialect gives."""
     return replace(v, sql=as_int(v), kind="int") if v.kind == "bool" else v
@@ -146,7 +151,7 @@ def real_of(v: Value) -> str:
 def int_of(v: Value) -> str:
     """As an integer: reals are cut towards zero and kept within 64 bits."""
     if v.kind in ("int", "bool", "null"):
-        return as_int(v)
+        return wide(v)
     if v.kind == "dyn":
         return let([dyn(v)], lambda d: f"CASE WHEN {d} IS NULL THEN NULL WHEN {d}.k = 1 AND NOT {d}.f THEN {d}.i ELSE {_cut(real_of(replace(v, sql=d)))} END")
     return _cut(real_of(v)) if v.kind == "real" else let([as_text(v)], lambda t: f"coalesce(try_cast(regexp_extract({t}, '^{SPACE}([+-]?[0-9]+)(?![0-9.eE])', 1) AS BIGINT), {_cut(real_of(Value(t, 'text')))})")
@@ -178,7 +183,7 @@ def dyn(v: Value) -> str:
     if v.kind == "null":
         return f"CAST(NULL AS {DYN_TYPE})"
     if v.kind in ("int", "bool"):
-        return let([as_int(v)], dyn_int)
+        return let([wide(v)], dyn_int)
     if v.kind == "real":
         return let([v.sql], dyn_real)
     if v.kind == "text":
@@ -390,7 +395,7 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
         if op == "/":
             return Value(let([x, y], lambda p, q: f"IF({q} = 0D, NULL, {p} / {q})"), "real")
         return Value(f"({x} {op} {y})", "real")
-    x, y = as_int(a), as_int(b)
+    x, y = wide(a), wide(b)
     if op == "/":
         if b.is_const and b.const not in (0, -1):
             return Value(f"({x} DIV {y})", "int")
@@ -437,7 +442,7 @@ def negate(v: Value) -> Value:
         return literal(-v.const)
     if v.kind == "dyn":
         return _dyn_arithmetic("-", literal(0), v)
-    return Value(f"(- {as_int(v)})", "real" if v.kind == "real" else "int")
+    return Value(f"(- {v.sql})", "real") if v.kind == "real" else Value(f"(- {wide(v)})", "int")
 
 
 def bits(op: str, a: Value, b: Value) -> Value:
@@ -461,7 +466,7 @@ def invert(v: Value) -> Value:
 
 def join_text(a: Value, b: Value) -> Value:
     if a.kind == "null" or b.kind == "null":
-        return literal(None)
+        return Value("CAST(NULL AS STRING)", "text")
     return Value(f"concat({as_text(a)}, {as_text(b)})", "text")
 
 

@@ -117,6 +117,7 @@ class Mutations:
             rowid = self.next_rowid(t)
             cells.append(f"{rowid}L AS `{t.rowid}`")
         new = self.session.spark.sql(f"SELECT {', '.join(cells)}")
+        new = new.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in t.frame.schema.fields if f.name in new.columns])
         self.put(t, t.frame.select(*[f"`{n}`" for n in self.names(t)]).unionByName(new))
         self.session.changes = 1
         if rowid is not None:
