@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def folder_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """name → DataFrame for each ``<name>.parquet`` below ``path``; the folder is listed by Spark's file system, so any store will do."""
     jvm = spark.sparkContext._jvm
