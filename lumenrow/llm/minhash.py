@@ -129,6 +129,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct()
 
 
+def gathered(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A written table in one partition if it has no more than ``rows`` rows, so that steps on it need no shuffle; else as it is."""
+    return df.coalesce(1) if df.count() <= rows else df
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``links`` (a, b); nodes without a link have no row.
 
@@ -136,15 +141,17 @@ def components(links: DataFrame) -> DataFrame:
     number of joins in practice, each result written to the shared folder.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = cut(edges, "edges")
+    edges = gathered(cut(edges, "edges"))
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         edges = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        edges = gathered(edges)
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         small = edges.join(least, "u")
         edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "small")
+        edges = gathered(edges)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
