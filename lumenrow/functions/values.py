@@ -117,8 +117,8 @@ _names = iter(range(1 << 62))
 
 
 def let(parts: list[str], body: Any) -> str:
-    """``body`` of names for ``parts``, each of which is computed once."""
-    if all(re.fullmatch(r"[\w.`]+|CAST\('?[^()']*'? AS \w+\)|-?[0-9]+L?", p) for p in parts):
+    """``body`` of names for ``parts``, each of which is computed once; subqueries, which Spark keeps out of lambdas and runs once anyway, stay as they are."""
+    if any("(SELECT " in p for p in parts) or all(re.fullmatch(r"[\w.`]+|CAST\('?[^()']*'? AS \w+\)|-?[0-9]+L?", p) for p in parts):
         return body(*parts)
     name = f"v{next(_names)}"
     fields = ", ".join(f"{p} AS p{i}" for i, p in enumerate(parts))

@@ -167,6 +167,7 @@ def test_limits_of_the_dialect(spark):
 
 def test_filters_are_pushed_down(spark):
     s = catalogue.session_for(spark, "/root/testdata/sf0.001", "orders")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
     plan = s.sql("SELECT o_totalprice FROM orders WHERE o_orderkey > 5.5 AND o_orderstatus = 'F'")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_orderkey,5)" in plan and "EqualTo(o_orderstatus,F)" in plan
     assert "o_custkey" not in plan.split("ReadSchema")[1]
