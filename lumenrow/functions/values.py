@@ -320,14 +320,18 @@ def _exact(op: str, a: Value, b: Value) -> str | None:
         if fixed:
             return f"IF({x} IS NULL, NULL, {fixed})"
         return f"({x} {'<=' if op in ('<', '<=') else '>'} {low}L)"
-    d = f"CAST({x} AS DOUBLE)"
-    whole = let([b.sql], lambda r: f"IF({r} >= 9.223372036854775807E18D, NULL, try_cast({r} AS BIGINT))")
-    if op == "=":
-        return f"({d} = {b.sql} AND coalesce({x} = {whole}, false))"
-    if op == "<>":
-        return f"(NOT ({d} = {b.sql} AND coalesce({x} = {whole}, false)))"
-    strict = op[0]
-    return f"({d} {strict} {b.sql} OR ({d} = {b.sql} AND coalesce({x} {op} {whole}, {'true' if strict == '<' else 'false'})))"
+
+    def body(x: str, r: str) -> str:
+        d, whole = f"CAST({x} AS DOUBLE)", f"try_cast({r} AS BIGINT)"
+        beyond = {"=": "false", "<>": "true", "<": "true", "<=": "true", ">": "false", ">=": "false"}[op]  # above every integer
+        if op in ("=", "<>"):
+            test = f"({d} = {r} AND {x} = {whole})"
+            test = test if op == "=" else f"(NOT {test})"
+        else:
+            test = f"({d} {op[0]} {r} OR ({d} = {r} AND {x} {op} {whole}))"
+        return f"CASE WHEN {x} IS NULL OR {r} IS NULL THEN NULL WHEN {r} >= 9.223372036854775807E18D THEN {beyond} ELSE {test} END"
+
+    return let([x, b.sql], body)
 
 
 def _same_kind(a: Value, b: Value, collation: str | None) -> tuple[str, str] | None:
