@@ -208,9 +208,11 @@ def sample(docs: DataFrame, per_language: int, max_bytes: int) -> DataFrame:
 _TREES: dict[str, ContextTrees] = {}
 
 
-def identify(docs: DataFrame, per_language: int = 150, max_bytes: int = 65536, order: int = 3, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 150, max_bytes: int = 65536, order: int = 3, keep: list[str] | None = None, names: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
     """held_out, lang_pred and score for each row of ``docs`` (doc_id, text, lang), with the columns ``keep`` before them.
 
+    ``names``: other names for the three, where ``keep`` has theirs.
+
     The classifier is fitted on at most ``per_language`` documents of at most
     ``max_bytes`` for each language, so its size is bounded by these and by the
     number of languages; it is broadcast.  Predictions use the whole text and
@@ -229,7 +231,7 @@ def identify(docs: DataFrame, per_language: int = 150, max_bytes: int = 65536, o
     shipped = spark.sparkContext.broadcast(pickle.dumps(ContextTrees(texts, order) if texts else None))
     keep = keep or ["doc_id"]
     columns = [docs[c] for c in keep]
-    extra = [F.coalesce(F.pmod(F.crc32(docs["doc_id"].cast("long").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False)).alias("held_out"), F.coalesce(docs["text"].cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letter"), docs["text"].cast("string").alias("__scored")]
+    extra = [F.coalesce(F.pmod(F.crc32(docs["doc_id"].cast("long").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False)).alias(names[0]), F.coalesce(docs["text"].cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letter"), docs["text"].cast("string").alias("__scored")]
     source = docs.select(*columns, *extra)
     n = len(columns)
     token = uuid.uuid4().hex
@@ -241,14 +243,14 @@ def identify(docs: DataFrame, per_language: int = 150, max_bytes: int = 65536, o
         trees = _TREES[token]
         for batch in batches:
             letter = np.array(batch.column(n + 1).to_pylist(), bool)
-            names, score = np.full(len(letter), "und", object), np.zeros(len(letter))
+            found, score = np.full(len(letter), "und", object), np.zeros(len(letter))
             if trees is not None and letter.any():
                 bits = trees.bits(*strings(batch.column(n + 2)))
                 best = bits.argmin(axis=1)
                 with np.errstate(under="ignore"):
                     share = 1 / np.exp2(-(bits - bits.min(axis=1, keepdims=True))).sum(axis=1)
-                names[letter], score[letter] = np.array(trees.languages, object)[best[letter]], share[letter]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(names.tolist(), pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[: n + 1], "lang_pred", "score"])
+                found[letter], score[letter] = np.array(trees.languages, object)[best[letter]], share[letter]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(found.tolist(), pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[: n + 1], *names[1:]])
 
-    shape = source.select(*source.columns[: n + 1]).schema.add("lang_pred", "string").add("score", "double")
+    shape = source.select(*source.columns[: n + 1]).schema.add(names[1], "string").add(names[2], "double")
     return source.mapInArrow(run, shape)
