@@ -27,7 +27,8 @@ SURE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have a language; what it's said to be isn't looked at."""
-    return identify(docs, keep=docs.columns).filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    told = identify(docs, keep=docs.columns, names=("__held_out", "__lang_pred", "__score"))
+    return told.filter((F.col("__lang_pred") != "und") & (F.col("__score") >= SURE)).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
