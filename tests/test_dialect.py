@@ -5,7 +5,7 @@ import sqlite3
 import pytest
 
 from lumenrow import Session
-from lumenrow.errors import EngineError, Unsupported
+from lumenrow.errors import EngineError, Mismatch, Unsupported
 
 SETUP = """
 CREATE TABLE people(id INTEGER PRIMARY KEY, name TEXT, age INTEGER, score REAL, dept INTEGER);
@@ -205,6 +205,13 @@ def test_literal(both, sql, rows):
     same(both[1].execute(sql), rows, False)
 
 
+def test_parameters(both):
+    for sql, args in (("SELECT id FROM people WHERE age > ? ORDER BY id LIMIT ? OFFSET ?", (10, 2, 1)), ("SELECT ?1 + ?1, ?2 || 'x', typeof(?3)", (2, b"ab", None)), ("SELECT id FROM people WHERE name = ?", ("Ann",)), ("SELECT id FROM people WHERE score < ? ORDER BY id", (2,))):
+        same(both[1].execute(sql, *args), both[0].execute(sql, args).fetchall(), True)
+    with pytest.raises(Mismatch):
+        both[1].execute("SELECT 1 LIMIT ?")
+
+
 REFUSED = """
 SELECT CASE WHEN 1 THEN 2 END
 SELECT CAST(1 AS TEXT)
