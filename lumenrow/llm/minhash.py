@@ -180,13 +180,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     tested = cut(buckets.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
     links = cut(confirm(tested, texts, percent), "links")
     labels = cut(components(links), "components")
-    turn = 0
+    members, turn = buckets.select("key", "node"), 0
     while True:
         turn += 1
-        now = buckets.select("key", "node").distinct().join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+        now = cut(members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "members")
         split = now.groupBy("key", "part").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("a"))
         star = split.groupBy("key").agg(F.max(F.struct("n", "a", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-        fresh = now.join(star, "key").filter("part <> top.part").select(F.col("top.a").alias("x"), F.col("node").alias("y"))
+        members = cut(now.join(star, "key").select("key", "node", "part", "top"), "open")  # a bucket in one component is done
+        fresh = members.filter("part <> top.part").select(F.col("top.a").alias("x"), F.col("node").alias("y"))
+        members = members.select("key", "node")
         fresh = fresh.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         fresh = cut(fresh, "pairs")
         found = cut(confirm(fresh, texts, percent), "links")
