@@ -36,6 +36,8 @@ STEPS = 4
 CONSISTENT = 2.109
 #: Groups of fewer documents are put together and estimated as one.
 LEAST = 50
+#: Documents meet their group's estimate by (group, salt), so that a large group is dealt to as many tasks at least.
+SALTS = 64
 _WORD_SPACE = "\t\n\x0b\x0c\r"
 
 
@@ -101,6 +103,11 @@ def _distance(told: DataFrame) -> DataFrame:
     return told.withColumn("d2", d2).drop(*[f"y{i}" for i in range(_P)], *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS])
 
 
+def _salted(groups: DataFrame) -> DataFrame:
+    """One row for each group and salt, from one for each group."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _start(points: DataFrame) -> DataFrame:
     """Coordinatewise medians, and interquartile ranges on the diagonal: from counts of each whole value."""
     long = points.select("gid", F.posexplode(F.array(*[f"x{i}" for i in range(_P)])).alias("f", "x"))
@@ -116,7 +123,7 @@ def _start(points: DataFrame) -> DataFrame:
 
 def _concentrate(points: DataFrame, est: DataFrame) -> DataFrame:
     """One step: centre and scatter of the half nearest to ``est``."""
-    told = _distance(points.join(est, "gid"))
+    told = _distance(points.join(_salted(est), ["gid", "salt"]))
     cell = F.floor(F.log2(F.col("d2") + 2.0**-20) * 8).cast("int")
     sums = [F.sum(f"x{i}").alias(f"t{i}") for i in range(_P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"t{i}{j}") for i, j in _PAIRS]
     cells = told.groupBy("gid", cell.alias("cell")).agg(F.count("*").alias("n"), *sums)
@@ -151,12 +158,15 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> DataF
     told = cut(told.withColumn("base_failed", failed).select("*", *[v.alias(f"x{i}") for i, v in enumerate(values)]), "statistics")
     sizes = told.filter("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
     large = sizes.filter(F.col("n") >= LEAST).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.to_json(F.struct(F.lit("group"), "lang", "source")).alias("g"))
-    found = told.join(large, told["lang"].eqNullSafe(F.col("g_lang")) & told["source"].eqNullSafe(F.col("g_source")), "left").withColumn("gid", F.coalesce("g", F.lit("rest"))).drop("g", "g_lang", "g_source")
+    told = told.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
+    large = _salted(large).withColumnRenamed("salt", "g_salt")
+    same = told["lang"].eqNullSafe(F.col("g_lang")) & told["source"].eqNullSafe(F.col("g_source")) & (F.col("salt") == F.col("g_salt"))
+    found = told.join(large, same, "left").withColumn("gid", F.coalesce("g", F.lit("rest"))).drop("g", "g_lang", "g_source", "g_salt")
     found = cut(found, "grouped")
-    points = found.filter("not base_failed").select("gid", *[f"x{i}" for i in range(_P)])
+    points = found.filter("not base_failed").select("gid", "salt", *[f"x{i}" for i in range(_P)])
     est = cut(_start(points), "start")
     for _ in range(steps):
         est = cut(_concentrate(points, est), "step")
-    far = _distance(found.join(est, "gid", "left"))
+    far = _distance(found.join(_salted(est), ["gid", "salt"], "left"))
     distance = F.when(~F.col("base_failed"), F.col("d2"))
     return far.select("doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance")).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff))
