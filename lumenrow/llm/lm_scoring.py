@@ -138,7 +138,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary:
     top = word_counts(plain).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").toArrow()
     known = np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
     chosen = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    marked = plain.join(chosen, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    # always by merge: target ids grow with the corpus, so they're broadcast at no size, and the plan is the same at every size
+    marked = plain.join(chosen.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     counts = model_counts(marked, known).toArrow()
     n = len(known) + 1
     sums = np.zeros((2, n + (1 << PAIR_BITS)), np.float32)
