@@ -8,6 +8,13 @@ Candidates are confirmed on full shingle sets.  A bucket whose members are still
 in several components gets further stars, from centres inside its largest
 component, until a round finds no new link.
 
+Members of buckets that are in several components even then meet once more: of
+two similar sets, ordered by one order of all shingles, the beginnings have a
+shingle in common (prefix filter; Bayardo et al., 2007).  Rare shingles come
+first, so texts of one template, but below the threshold, don't meet in what the
+template gave them.  Every pair of components in a bucket is so tested or excluded
+exactly.
+
 Equal sets are one class before any pair is made, so copies cost one row each.
 Links, components and fingerprints stay distributed throughout.
 """
@@ -159,6 +166,58 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """node, text_set (a hash of the whole set), shingle: a row for each shingle of each row of ``texts`` (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for start, stop in slices(batch.column(1)):
+                sets = shingle_sets(batch.column(1).slice(start, stop - start))
+                for at in range(0, len(sets), 256):
+                    some = sets[at : at + 256]
+                    sizes = [len(x) for x in some]
+                    with np.errstate(over="ignore"):
+                        names = np.array([mix(x).sum() for x in some], np.uint64)
+                    columns = np.repeat(ids[start + at : start + at + len(some)], sizes), np.repeat(names, sizes).view(np.int64), np.concatenate(some).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "text_set", "shingle"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, text_set long, shingle long")
+
+
+def prefixes(texts: DataFrame, percent: int) -> DataFrame:
+    """node, shingle, size, at (from 0), short: the beginnings of the sets of ``texts``, shingles held by several rows only, rare ones first.
+
+    x and y, x no longer than y, can only be similar if a shingle among x's ``short`` rows is among y's rows.
+    """
+    rows = cut(shingle_rows(texts).distinct(), "shingles")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    ordered = rows.join(common, "shingle", "left").groupBy("node", "text_set").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle"))).alias("all")).withColumn("size", F.size("all").cast("long"))
+    long = F.expr(f"cast(size - (size * {percent} + 99) div 100 + 1 as int)")
+    short = F.expr(f"size - (2 * size * {percent} + {99 + percent}) div {100 + percent} + 1")
+    told = ordered.select("node", "size", short.alias("upto"), F.posexplode(F.slice("all", F.lit(1), long)).alias("at", "x"))
+    return told.filter("x.n > 1").select("node", "x.shingle", "size", "at", (F.col("at") < F.col("upto")).alias("short"))
+
+
+def across(parts: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different parts that can be similar; ``parts``: node, part.
+
+    Of each shingle, the nodes of the part that holds most of its rows meet the
+    others' only, so that a large component isn't paired with itself.
+    """
+    rows = cut(prefixes(texts, percent).join(parts, "node"), "prefixes")
+    held = rows.groupBy("shingle", "part").agg(F.count("*").alias("n"), F.max("short").alias("short"))
+    top = held.groupBy("shingle").agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("parts"), F.max("short").alias("any")).filter("parts > 1 and any")
+    rows = cut(rows.join(top.select("shingle", F.col("top.part").alias("top")), "shingle").withColumn("main", F.col("part") == F.col("top")).drop("top"), "shared")
+    names = ("node", "size", "at", "part")
+    one = lambda side, which: rows.filter(which).select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in names])
+    # the shared shingle that comes first leaves room for the overlap that similarity needs
+    fits = f"a_part <> b_part and a_size <= b_size and least(a_size - a_at, b_size - b_at) * {100 + percent} >= {percent} * (a_size + b_size)"
+    pairs = one("a", "short and not main").join(one("b", "true"), "shingle").filter(fits)
+    pairs = pairs.union(one("a", "short and main").join(one("b", "not main"), "shingle").filter(fits))
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id); one row for each row of ``docs``.
 
@@ -197,6 +256,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
             break
         links = links.union(found)
         labels = cut(components(links), "components")
+    # a bucket of two parts is done if each has one member; whatever is left meets by shared rare shingles
+    parts = cut(now.join(star.select("key"), "key", "left_semi").select("node", "part").distinct(), "parts")
+    if not parts.isEmpty():
+        left = cut(texts.join(parts, "node", "left_semi"), "texts")
+        fresh = cut(across(parts, left, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = cut(confirm(fresh, left, percent), "links")
+        if not found.isEmpty():
+            labels = cut(components(links.union(found)), "components")
     by_set = classes.select("fp", "node").join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("part"))
     # a document whose id stands for several sets belongs to the smallest component of them
     whole = sig.join(by_set, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id")).alias("component_id"))

@@ -96,6 +96,33 @@ def test_chain_through_a_hub(spark):
     assert {r.doc_id: r.component_id for r in got} == {k: v[1] for k, v in want.items()}
 
 
+def template_family(seed):
+    """Pages of one template just under the threshold, a large group of near copies, and near pairs among the pages."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(1000)]
+
+    def changed(words, n, name):
+        out = list(words)
+        for at in rng.sample(range(0, 1000, 10), n):
+            out[at] = f"{name}_{at}"
+        return out
+
+    pages = [changed(base, 19, f"v{v}") for v in range(150)]
+    twins = [changed(page, 26, f"t{v}") for v, page in enumerate(pages[10:50])]
+    centre = changed(base, 19, "g")
+    group = [changed(centre, 2, f"g{v}") for v in range(60)]
+    texts = [" ".join(words) for words in [*group, *pages, *twins]]
+    return [(i, t, None, None) for i, t in zip(rng.sample(range(1000), len(texts)), texts, strict=True)]
+
+
+def test_near_pairs_inside_a_template(spark):
+    """Links between two small parts of buckets that hold a larger one."""
+    for seed in (1, 2):
+        rows = template_family(seed)
+        got = minhash.near_duplicates(documents(spark, rows)).collect()
+        assert {r.doc_id: r.component_id for r in got} == {k: v[1] for k, v in brute_components(rows).items()}
+
+
 def test_components_by_brute_force(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]
