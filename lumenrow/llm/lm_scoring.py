@@ -1,131 +1,129 @@
 """Language-model scoring by cross-entropy difference (Moore and Lewis, 2010).
 
 Two bigram models, one of target documents and one of the whole corpus, share one
-vocabulary, one table layout and one way of smoothing: pairs are pulled to single
-words, the target's words to the background's, and these to all words alike.  A document's score is the mean
-over its words of background loss minus target loss, in bits: high for text like
+vocabulary and one way of smoothing: pairs are pulled to single words, the target's
+words to the background's, and these to all words alike.  A document's score is the
+mean over its words of background loss minus target loss, in bits: high for text like
 the target's.
 
-The vocabulary is the commonest words of the whole corpus; other words are one
-unknown word.  Counts are gathered over all documents: each task adds up its own,
-and one aggregation adds the tasks.  Bigrams are counted in a table of fixed size,
-so the models that scoring needs have a fixed size too and are broadcast.
+All words and all pairs of the corpus are counted, each for itself: no table has a
+fixed size.  Documents are packed into blocks, and each block tells its counts of each
+word and pair.  Sums over blocks are sent back to the blocks that hold the word or
+pair; a pair that only one block holds has that block's count and isn't sent.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .textwords import mix, slices, stream, strings, word_hashes
 
-VOCABULARY, PAIR_BITS, PRIOR, PULL = 32_768, 21, 64.0, 32_768.0
+PRIOR, PULL = 64.0, 32_768.0
+BLOCK = 1 << 23  # bytes of text that are counted together; a longer text has a block of its own
 _U = np.uint64
 _PAIR = stream(19, 2) | _U(1)
-_HELD = 2_000_000  # distinct words that a task holds before it hands them on
+_PAIRS, _WORDS, _PLACES = range(3)  # kinds of rows sent to a block
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return words, np.bincount(at, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
+def blocks(plain: DataFrame) -> DataFrame:
+    """block, ids, payload (doc_id and text, packed): the rows of ``plain`` (doc_id, text) in their order."""
 
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word (its hash), n: over all rows of ``texts`` (text)."""
+    def packed(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+            for batch in held:
+                out.write_batch(batch)
+        ids = [i for batch in held for i in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "ids", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        batch_of = lambda w, n: pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["word", "n"])
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for start, stop in slices(batch.column(0)):
-                parts.append(np.unique(word_hashes(*strings(batch.column(0).slice(start, stop - start)))[0], return_counts=True))
-                if len(parts) >= 32:
-                    parts = [_merged(parts)]
-                    if len(parts[0][0]) > _HELD:
-                        yield batch_of(*parts.pop())
-        if parts:
-            yield batch_of(*_merged(parts))
-
-    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Models:
-    """Counts of words and of pairs for background (0) and target (1), over one vocabulary."""
-
-    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> None:
-        self.vocabulary, self.words, self.pairs = vocabulary, words, pairs
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary))
-
-    def losses(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(2, rows) summed losses in bits, and words of each row."""
-        hashes, bounds = word_hashes(*strings(column))
-        ids = self.ids(hashes)
-        first = np.zeros(len(ids), bool)
-        first[bounds[:-1][np.diff(bounds) > 0]] = True
-        slot = pair_slots(ids)
-        before = np.concatenate(([0], ids[:-1])) if len(ids) else ids
-        out = np.zeros((2, len(bounds) - 1))
-        alone = np.full(len(self.words[0]), 1 / len(self.words[0]))
+            for start, stop in slices(batch.column(1)):
+                more = len(strings(batch.column(1).slice(start, stop - start))[0])
+                if held and size + more > BLOCK:
+                    yield packed(block, held)
+                    block, held, size = block + 1, [], 0
+                held.append(batch.slice(start, stop - start))
+                size += more
+        if held:
+            yield packed(block, held)
+
+    return plain.mapInArrow(run, "block long, ids array<long>, payload binary")
+
+
+def keys_of(column: pa.Array, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its hash, its pair's with the word before, and if it's the first of its row; where each row's words begin and end.  Words outside ``known`` are one, 0."""
+    words, bounds = word_hashes(*strings(column))
+    if known is not None:
+        words = np.where(np.isin(words, known), words, _U(0))
+    first = np.zeros(len(words), bool)
+    first[bounds[:-1][np.diff(bounds) > 0]] = True
+    with np.errstate(over="ignore"):
+        pairs = mix(np.concatenate((words[:1], words[:-1])) * _PAIR[0] + words * _PAIR[1])
+    return words, pairs, first, bounds
+
+
+class Block:
+    """Words and pairs of a block's rows and how often each occurs: in all rows, and in those at ``targets``."""
+
+    def __init__(self, payload: bytes, targets: list[int] | np.ndarray, known: np.ndarray | None) -> None:
+        table = pa.ipc.open_stream(payload).read_all()
+        self.ids, chosen = table.column("doc_id"), np.zeros(len(table), bool)
+        chosen[targets] = True
+        found = [keys_of(chunk, known) for chunk in table.column("text").chunks]
+        words, pairs, self.first = (np.concatenate([x[i] for x in found]) for i in range(3))
+        self.sizes = np.concatenate([np.diff(x[3]) for x in found])
+        of_target = np.repeat(chosen, self.sizes)
+        self.keys, self.counts, self.places = [], [], []  # by kind
+        for keys, rows in ((pairs, ~self.first), (words, np.ones(len(words), bool))):
+            own, place = np.unique(keys[rows], return_inverse=True)
+            self.keys.append(own)
+            self.places.append(place)
+            self.counts.append(np.stack([np.bincount(place, minlength=len(own)), np.bincount(place[of_target[rows]], minlength=len(own))]))
+
+    def losses(self, totals: list[int], n_words: int) -> list[np.ndarray]:
+        """Of each model the mean bits a word of each row."""
+        row, out = np.repeat(np.arange(len(self.sizes)), self.sizes), []
+        alone = np.full(len(self.keys[_WORDS]), 1 / (n_words + 1))
+        before = np.flatnonzero(~self.first) - 1
         for m in (0, 1):
-            one = self.words[m].astype(np.float64)
-            alone = (one + PULL * alone) / (one.sum() + PULL)  # background: pulled to all words alike; target: to the background
-            both = np.minimum(self.pairs[m][slot], np.minimum(one[before], one[ids]))  # words that share a slot can't add more than either has
-            p = np.where(first, alone[ids], (both + PRIOR * alone[ids]) / (one[before] + PRIOR))
-            total = np.concatenate(([0.0], np.cumsum(-np.log2(p))))
-            out[m] = total[bounds[1:]] - total[bounds[:-1]]
-        return out, np.diff(bounds)
+            one = self.counts[_WORDS][m].astype(np.float64)
+            alone = (one + PULL * alone) / (totals[m] + PULL)  # background: pulled to all words alike; target: to the background
+            p = alone[self.places[_WORDS]]
+            p[before + 1] = (self.counts[_PAIRS][m][self.places[_PAIRS]] + PRIOR * p[before + 1]) / (one[self.places[_WORDS][before]] + PRIOR)
+            out.append(np.bincount(row, -np.log2(p), len(self.sizes)) / np.maximum(self.sizes, 1))
+        return out
 
 
-def pair_slots(ids: np.ndarray) -> np.ndarray:
-    """Of each word with the one before it; the first entry means nothing."""
-    with np.errstate(over="ignore"):
-        a = np.concatenate(([0], ids[:-1])).astype(np.uint64) if len(ids) else ids.astype(np.uint64)
-        return (mix(a * _PAIR[0] + ids.astype(np.uint64) * _PAIR[1]) >> _U(64 - PAIR_BITS)).astype(np.int64)
+_COUNTS = "block long, key long, kind byte, background long, target long"
 
 
-def model_counts(marked: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """slot, background, target: sums over ``marked`` (text, is_target); slots from 0 are words, then pairs."""
-    shipped = marked.sparkSession.sparkContext.broadcast(vocabulary)
-    n = len(vocabulary) + 1
+def sums(marked: DataFrame, known: np.ndarray | None) -> DataFrame:
+    """block, key, kind, background, target: sums over all blocks of ``marked`` (block, payload, targets), for each block's words, and its pairs that other blocks hold too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Models(shipped.value, np.zeros(0), np.zeros(0))
-        sums = np.zeros((2, n + (1 << PAIR_BITS)), np.int64)
         for batch in batches:
-            chosen = np.array(batch.column(1).to_pylist(), bool)
-            for start, stop in slices(batch.column(0)):
-                hashes, bounds = word_hashes(*strings(batch.column(0).slice(start, stop - start)))
-                ids = model.ids(hashes)
-                slot = pair_slots(ids) + n
-                begins = bounds[:-1][np.diff(bounds) > 0]
-                inner = np.ones(len(ids), bool)
-                inner[begins] = False
-                of_target = np.repeat(chosen[start:stop], np.diff(bounds))
-                for m, rows in ((0, slice(None)), (1, of_target)):
-                    sums[m, :n] += np.bincount(ids[rows], minlength=n)
-                    sums[m] += np.bincount(slot[rows][inner[rows]], minlength=sums.shape[1])
-        some = np.flatnonzero(sums[0])
-        for at in range(0, len(some), 1 << 16):
-            part = some[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[0][part]), pa.array(sums[1][part])], names=["slot", "background", "target"])
-
-    return marked.select("text", "is_target").mapInArrow(run, "slot long, background long, target long").groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-_MODELS: dict[str, Models] = {}
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+            for name, payload, targets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                block = Block(payload.as_py(), targets or [], known)
+                for kind in (_PAIRS, _WORDS):
+                    keys, counts = block.keys[kind], block.counts[kind]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), name)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), kind, np.int8)), pa.array(counts[0]), pa.array(counts[1])], names=["block", "key", "kind", "background", "target"])
+
+    told = marked.select("block", "payload", "targets").mapInArrow(run, _COUNTS)
+    same = Window.partitionBy("key", "kind")
+    told = told.select("block", "key", "kind", F.sum("background").over(same).alias("background"), F.sum("target").over(same).alias("target"), F.count("*").over(same).alias("holders"))
+    return cut(told.filter((F.col("kind") == _WORDS) | (F.col("holders") > 1)).drop("holders"), "sums")
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (bits a word), score (background - target); a row for each row of ``docs``.
 
     ``target_ids``: doc_id of the target documents.  A null or blank text has no
@@ -133,32 +131,33 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary:
     target model.  Null ids are never targets; repeated rows count each time and get
     equal scores; other columns aren't read; an empty table gives none.
     """
-    spark = docs.sparkSession
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    top = word_counts(plain).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").toArrow()
-    known = np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
-    chosen = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
+    packs = cut(blocks(plain), "blocks")
+    chosen = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     # always by merge: target ids grow with the corpus, so they're broadcast at no size, and the plan is the same at every size
-    marked = plain.join(chosen.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    counts = model_counts(marked, known).toArrow()
-    n = len(known) + 1
-    sums = np.zeros((2, n + (1 << PAIR_BITS)), np.float32)
-    slot = counts.column("slot").to_numpy()
-    for m, name in enumerate(("background", "target")):
-        sums[m][slot] = counts.column(name).to_numpy()
-    shipped = spark.sparkContext.broadcast(Models(known, sums[:, :n].copy(), sums[:, n:].copy()))
-    token = uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _MODELS:
-            _MODELS.clear()
-            _MODELS[token] = shipped.value
-        models = _MODELS[token]
-        for batch in batches:
-            for start, stop in slices(batch.column(1)):
-                losses, words = models.losses(batch.column(1).slice(start, stop - start))
-                none = words == 0
-                each = losses / np.maximum(words, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(words), pa.array(each[1], mask=none), pa.array(each[0], mask=none), pa.array(np.where(none, 0.0, each[0] - each[1]))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return plain.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    places = cut(packs.select("block", F.posexplode("ids").alias("at", "doc_id")).join(chosen.hint("merge"), "doc_id").select("block", "at"), "places")
+    marked = packs.select("block", "payload").join(places.groupBy("block").agg(F.collect_list("at").alias("targets")).hint("merge"), "block", "left")
+    known, answers = None, sums(marked, None)
+    words_of = lambda told: told.filter(F.col("kind") == _WORDS).groupBy("key").agg(F.first("background").alias("background"), F.first("target").alias("target"))
+    if vocabulary is not None:
+        top = words_of(answers).orderBy(F.desc("background"), "key").limit(vocabulary).select("key").toArrow()
+        known = top.column(0).to_numpy().astype(np.int64).view(np.uint64)
+        answers = sums(marked, known)
+    whole = words_of(answers).agg(F.sum("background").alias("background"), F.sum("target").alias("target"), F.count_if(F.col("key") != 0).alias("n")).first()
+    totals, n_words = [whole["background"] or 0, whole["target"] or 0], whole["n"]
+    none = F.lit(0).cast("long")
+    answers = answers.union(places.select("block", F.col("at").cast("long"), F.lit(_PLACES).cast("byte"), none, none))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds, keys = right.column("kind").to_numpy(), right.column("key").to_numpy()
+        name, block = left.column("block")[0].as_py(), Block(left.column("payload")[0].as_py(), keys[kinds == _PLACES], known)
+        for kind in (_PAIRS, _WORDS):
+            rows = kinds == kind
+            place = np.searchsorted(block.keys[kind], keys[rows].view(np.uint64))
+            for m, column in enumerate(("background", "target")):
+                block.counts[kind][m][place] = right.column(column).to_numpy()[rows]
+        each, none, n = block.losses(totals, n_words), block.sizes == 0, len(block.sizes)
+        return pa.table({"block": pa.array(np.full(n, name)), "at": pa.array(np.arange(n)), "doc_id": block.ids, "n_tokens": pa.array(block.sizes), "target_loss": pa.array(each[1], mask=none), "background_loss": pa.array(each[0], mask=none), "score": pa.array(np.where(none, 0.0, each[0] - each[1]))})
+
+    told = packs.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "block long, at long, doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return cut(told, "scores").orderBy("block", "at").drop("block", "at")

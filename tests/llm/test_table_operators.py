@@ -369,6 +369,24 @@ def test_scores_by_brute_force(spark):
     assert lm_scoring.cross_entropy_difference(documents(spark, rows).limit(0), targets).count() == 0
 
 
+def test_all_words_and_pairs_count(spark):
+    """More words than any fixed vocabulary: rare target words stay apart from rare words of others."""
+    word = lambda i: f"rare{i}"
+    rows = [(d, " ".join(word(100 * d + i) for i in range(100)), None, None) for d in range(400)]
+    rows += [(1000 + d, r[1], None, None) for d, r in enumerate(rows)]
+    targets = spark.createDataFrame([(d,) for d in range(0, 400, 2)], "doc_id long")
+    got = lm_scoring.cross_entropy_difference(documents(spark, rows), targets).collect()
+    total, v = sum(len(r[1].split()) for r in rows), 40_001
+    back, pull = (2 + lm_scoring.PULL / v) / (total + lm_scoring.PULL), lm_scoring.PULL
+    for r in got:
+        of_target = r.doc_id % 1000 % 2 == 0
+        want = []
+        for n, alone in ((2, back), (int(of_target), (int(of_target) + pull * back) / (total / 4 + pull))):
+            later = (n + lm_scoring.PRIOR * alone) / (n + lm_scoring.PRIOR)
+            want.append(-(math.log2(alone) + 99 * math.log2(later)) / 100)
+        assert (r.background_loss, r.target_loss) == (pytest.approx(want[0], rel=1e-9), pytest.approx(want[1], rel=1e-9))
+
+
 def test_scores_tell_target_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
