@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -20,7 +20,7 @@ from .common import cut
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 # Words in a host that label a URL as unwanted when no labels are given.
 SEEDS = ("pills", "casino", "spam", "viagra", "porn", "lottery", "payday", "replica")
-BINS, ROUNDS, RATE, SMOOTH, SAMPLE, SUFFIXES = 12, 12, 0.4, 1.0, 20_000, 64
+BINS, ROUNDS, RATE, SMOOTH, SAMPLE = 12, 12, 0.4, 1.0, 20_000
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -60,11 +60,8 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def features(url: Column, host: Column, path: Column, odds: dict[str, float]) -> dict[str, Column]:
-    """``odds``: log odds of label 1 by suffix, smoothed; 0 for others."""
-    known = F.lit(0.0)
-    for name, value in odds.items():
-        known = F.when(suffix(host) == name, F.lit(value)).otherwise(known)
+def features(url: Column, host: Column, path: Column, odds: Column) -> dict[str, Column]:
+    """``odds``: log odds of label 1 of the host's suffix."""
     text = F.coalesce(url, F.lit(""))
     length = F.length(text)
     return {
@@ -78,7 +75,7 @@ def features(url: Column, host: Column, path: Column, odds: dict[str, float]) ->
         "fragment": text.contains("#").cast("double"),
         "secure": text.startswith("https://").cast("double"),
         "entropy": entropy(host),
-        "suffix": known,
+        "suffix": odds,
     }
 
 
@@ -90,10 +87,10 @@ def _bin(value: Column, edges: list[float]) -> Column:
 
 
 class UrlTrees:
-    """Bin edges of each feature, log odds of suffixes, and trees ((feature, bin), two (feature, bin), four leaves)."""
+    """Bin edges of each feature, log odds of suffixes (a table: suffix, odds), and trees ((feature, bin), two (feature, bin), four leaves)."""
 
     def __init__(self) -> None:
-        self.odds: dict[str, float] = {}
+        self.odds: DataFrame | None = None
         self.edges: dict[str, list[float]] = {}
         self.trees: list[tuple] = []
         self.base = 0.0
@@ -105,10 +102,17 @@ class UrlTrees:
             out = out + F.when(bins[f] <= b, side[0]).otherwise(side[1])
         return 1 / (1 + F.exp(-out))
 
+    def with_odds(self, urls: DataFrame) -> DataFrame:
+        """``urls`` (host and others) with __odds, 0 for a suffix that training didn't have."""
+        if self.odds is None:
+            return urls.withColumn("__odds", F.lit(0.0))
+        odds = self.odds.select(F.col("suffix").alias("__suffix"), F.col("odds").alias("__known"))
+        return urls.join(odds, suffix(urls["host"]) == F.col("__suffix"), "left").withColumn("__odds", F.coalesce("__known", F.lit(0.0))).drop("__suffix", "__known")
+
     def judged(self, urls: DataFrame) -> DataFrame:
         """``urls`` (url, host, path and others) with ``probability``; features, bins and score are columns one after another, so none is computed twice."""
         own = urls.columns
-        known = urls.select(*own, *[v.alias(f"__f_{k}") for k, v in features(F.col("url"), F.col("host"), F.col("path"), self.odds).items() if k in self.edges])
+        known = self.with_odds(urls).select(*own, *[v.alias(f"__f_{k}") for k, v in features(F.col("url"), F.col("host"), F.col("path"), F.col("__odds")).items() if k in self.edges])
         binned = known.select(*own, *[_bin(F.col(f"__f_{k}"), e).alias(f"__b_{k}") for k, e in self.edges.items()])
         return binned.select(*own, self.score({k: F.col(f"__b_{k}") for k in self.edges}).alias("probability"))
 
@@ -133,26 +137,35 @@ def _best(sums: dict[tuple[str, int], tuple[float, float]], names: list[str]) ->
 
 
 def train(urls: DataFrame, rounds: int = ROUNDS) -> UrlTrees:
-    """``urls``: url, label (0 or 1); at most ``SAMPLE`` rows of each label are used, chosen by hash."""
+    """``urls``: url, label (0 or 1).
+
+    Trees are fitted on at most ``SAMPLE`` URLs of each label, chosen by hash.  Labels
+    and suffixes are counted over all rows, and the chosen URLs of a label weigh as
+    much as all rows of it, so the base rate is that of the rows at any size.
+    """
     model = UrlTrees()
+    urls = urls.filter("url is not null and label in (0, 1)").select("url", F.col("label").cast("int").alias("label"))
+    host, path = host_path(F.col("url"))
+    counts = cut(urls.groupBy(suffix(host).alias("suffix")).agg(F.sum("label").alias("pos"), F.count("*").alias("n")), "suffixes")
+    model.odds = counts.select("suffix", F.round(F.log((F.col("pos") + 1) / (F.col("n") - F.col("pos") + 1)), 6).alias("odds"))
+    rows = counts.agg(F.sum("pos").alias("pos"), F.sum("n").alias("all")).first()
+    pos, n = rows["pos"] or 0, rows["all"] or 0
     picked = None
     for label in (0, 1):
-        some = urls.filter(F.col("label") == label).filter("url is not null").groupBy("url", "label").agg(F.count("*").alias("n")).orderBy(F.xxhash64("url"), "url").limit(SAMPLE)
+        some = urls.filter(F.col("label") == label).groupBy("url", "label").agg(F.count("*").alias("n")).orderBy(F.xxhash64("url"), "url").limit(SAMPLE)
         picked = some if picked is None else picked.union(some)
-    host, path = host_path(F.col("url"))
     picked = cut(picked.coalesce(1), "urls").coalesce(1)
-    by_suffix = picked.groupBy(suffix(host).alias("s")).agg(F.sum("label").alias("pos"), F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
-    model.odds = {r.s: round(math.log((r.pos + 1) / (r.n - r.pos + 1)), 6) for r in by_suffix}
-    values = cut(picked.select("label", *[v.alias(k) for k, v in features(F.col("url"), host, path, model.odds).items()]), "features").coalesce(1)
-    names = values.columns[1:]
-    quantiles = values.agg(*[F.percentile_approx(k, [i / BINS for i in range(1, BINS)], 10_000).alias(k) for k in names], F.sum("label").alias("pos"), F.count("*").alias("all")).first()
+    share = F.when(F.col("label") == 1, F.lit(float(pos))).otherwise(F.lit(float(n - pos))) / F.sum("n").over(Window.partitionBy("label"))
+    picked = model.with_odds(picked.withColumn("weight", F.col("n") * share).withColumns({"host": host, "path": path}))
+    values = cut(picked.select("label", "weight", *[v.alias(k) for k, v in features(F.col("url"), F.col("host"), F.col("path"), F.col("__odds")).items()]).coalesce(1), "features").coalesce(1)
+    names = values.columns[2:]
+    quantiles = values.agg(*[F.percentile_approx(k, [i / BINS for i in range(1, BINS)], 10_000).alias(k) for k in names]).first()
     model.edges = {k: sorted(set(quantiles[k] or [])) for k in names}
-    pos, n = quantiles["pos"] or 0, quantiles["all"]
     if not pos or pos == n:
         model.base = -20.0 if not pos else 20.0
         return model
     model.base = math.log(pos / (n - pos))
-    cells = cut(values.select("label", *[_bin(F.col(k), model.edges[k]).alias(k) for k in names]).groupBy("label", *names).agg(F.count("*").alias("n")).coalesce(1), "cells").coalesce(1)
+    cells = cut(values.select("label", "weight", *[_bin(F.col(k), model.edges[k]).alias(k) for k in names]).groupBy("label", *names).agg(F.sum("weight").alias("n")).coalesce(1), "cells").coalesce(1)
     bins = {k: F.col(k) for k in names}
     for _ in range(rounds):
         p = model.score(bins)

@@ -1,5 +1,6 @@
 """Operators on whole tables against brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -437,6 +438,20 @@ def test_trees_generalise(spark):
     assert sum((r.probability > 0.5) == (r.label == 1) for r in held) / len(held) > 0.95
 
 
+def test_base_rate_is_that_of_all_rows(spark, monkeypatch):
+    """A label cut to the sample weighs as much as all its rows, and rows of one URL count each."""
+    monkeypatch.setattr(url_trees, "SAMPLE", 40)
+    names = ["".join(p) for p in itertools.islice(itertools.permutations("0123456"), 1000)]  # alike in all features
+    rows = [(f"http://{name}.site.org/", int(i % 20 == 0)) for i, name in enumerate(names)] + [(f"http://{names[1]}.site.org/", 0)] * 1000
+    urls = spark.createDataFrame(rows, "url string, label int")
+    model = url_trees.train(urls)
+    assert model.base == pytest.approx(math.log(50 / 1950))
+    host, path = url_trees.host_path(F.col("url"))
+    mean = model.judged(urls.withColumns({"host": host, "path": path})).agg(F.avg("probability")).first()[0]
+    assert mean == pytest.approx(50 / 2000, rel=0.01)
+    assert {r.suffix: r.odds for r in model.odds.collect()} == {"org": pytest.approx(math.log(51 / 1951), abs=1e-6)}
+
+
 def test_splits_by_brute_force():
     rng = random.Random(3)
     for _ in range(50):
