@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 21
+BASE = 0xD6E8FEB86659FD93
 _U = np.uint64
 
 
@@ -28,13 +29,12 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    base = 0xD6E8FEB86659FD93
     lower = np.arange(256)
     lower[65:91] += 32
     values = stream(7, 256)[lower] | _U(1)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(CHUNK, base, np.uint64))
-        inverse = np.cumprod(np.full(CHUNK, pow(base, -1, 1 << 64), np.uint64))
+        power = np.cumprod(np.full(CHUNK, BASE, np.uint64))
+        inverse = np.cumprod(np.full(CHUNK, pow(BASE, -1, 1 << 64), np.uint64))
     space = np.zeros(256, bool)
     space[[32, 9, 10, 11, 12, 13]] = True
     return values, power, inverse, space
@@ -51,6 +51,23 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[off[0] : off[-1]], off - off[0]
 
 
+def _long_word(data: np.ndarray, at: int, row_end: int) -> tuple[int, np.ndarray]:
+    """End and hash of the word from ``at``, whatever its length: by pieces, each moved to its place in the word."""
+    values, power, inverse, space = _tables()
+    total, start = 0, at
+    while at < row_end:
+        piece = data[at : min(row_end, at + CHUNK)]
+        gaps = np.flatnonzero(space[piece])
+        if len(gaps):
+            piece = piece[: gaps[0]]
+        own = int((values[piece] * power[: len(piece)]).sum()) * int(inverse[0])
+        total = (total + own * pow(BASE, at - start, 1 << 64)) % (1 << 64)
+        at += len(piece)
+        if len(gaps):
+            break
+    return at, mix(np.array([(total + at - start) % (1 << 64)], np.uint64))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words [^\\x20\\x09-\\x0D]+ of each row, A-Z lower-cased, in order; where each row's words begin and end."""
     values, power, inverse, space = _tables()
@@ -60,14 +77,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     at = 0
     while at < n:
         end = min(n, at + CHUNK)
-        if end < n:  # cut after a separator or at a row's end; a word longer than the chunk is taken by pieces
+        if end < n:  # cut at a row's end or after a separator; a word that fills the chunk is taken whole
             row_end = offsets[np.searchsorted(offsets, end, "right") - 1]
             if row_end > at:
                 end = int(row_end)
             else:
-                gaps = np.flatnonzero(space[data[end - 65536 : end]]) if end - 65536 > at else np.zeros(0, int)
+                gaps = np.flatnonzero(space[data[at:end]])
                 if len(gaps):
-                    end = end - 65536 + int(gaps[-1]) + 1
+                    end = at + int(gaps[-1]) + 1
+                else:
+                    row = int(np.searchsorted(offsets, at, "right")) - 1
+                    at, word_hash = _long_word(data, at, int(offsets[row + 1]))
+                    parts.append(word_hash)
+                    counts[row] += 1
+                    continue
         chunk = data[at:end]
         apart = space[chunk]
         edge = np.zeros(len(chunk) + 1, bool)

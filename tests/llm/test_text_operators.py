@@ -6,13 +6,15 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenrow.llm import bpe, language, license_scan, media_ts
+from lumenrow.llm import bpe, language, license_scan, media_ts, textwords
 
 RANKS = bpe.read_ranks(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
 CODEC = bpe.Codec(RANKS, public_tokenizers.PATTERN)
@@ -129,6 +131,17 @@ def test_license_scan_by_brute_force():
             assert min(distance_inside(p, joined[s["start"] : s["end"]]) for p, label in license_scan.NOTICES.items() if label == s["label"]) <= s["edits"]
 
 
+def test_words_longer_than_a_chunk():
+    blob = "abcdefghij" * 700_000
+    texts = [blob, f"x {blob}", f"yyyyy {blob} z", "", blob[:100_000] + " " + blob, "q " * 1_040_000 + blob[:200_000] + " r", blob[:200_000]]
+    hashes, bounds = textwords.word_hashes(*textwords.strings(pa.array(texts)))
+    assert np.diff(bounds).tolist() == [len(t.split()) for t in texts]
+    of = [hashes[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert of[0][0] == of[1][1] == of[2][1] == of[4][1] and of[5][-2] == of[6][0] != of[0][0]
+    for text, want in zip(texts, of, strict=True):
+        assert (textwords.word_hashes(*textwords.strings(pa.array([text])))[0] == want).all()
+
+
 def test_license_query(spark):
     rows = license_scan.license_scan(odd_documents(spark)).collect()
     assert [(r.doc_id, r.n_words, r.n_base, r.first_word, r.labels, r.score) for r in rows[:3]] == [(1, 0, 0, None, "", 0.0), (2, 0, 0, None, "", 0.0), (3, 30_000, 0, None, "", 0.0)]
