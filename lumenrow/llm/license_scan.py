@@ -72,7 +72,7 @@ class Scanner:
         self.seeds.make_automaton()
 
     def fuzzy(self, joined: str) -> list[Span]:
-        """Spans of notices in words joined by single spaces, best match first at each place, none overlapping for one notice."""
+        """Spans of notices in words joined by single spaces, best match first of each stretch, then those before and after it, none overlapping for one notice."""
         windows: dict[int, list[list[int]]] = {}
         for last, (size, uses) in self.seeds.iter(joined):
             for n, offset in uses:
@@ -88,8 +88,13 @@ class Scanner:
         for n, own in windows.items():
             _, label, _, pattern = self.notices[n]
             for start, end in own:
-                for m in pattern.finditer(joined, max(0, start), min(len(joined), end)):
-                    spans.append(Span(label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                rest = [(max(0, start), min(len(joined), end))]
+                while rest:  # the best match of a stretch, then what lies before and after it
+                    start, end = rest.pop()
+                    m = pattern.search(joined, start, end) if end > start else None
+                    if m:
+                        spans.append(Span(label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                        rest += [(m.end(), end), (start, m.start())]
         return sorted(spans, key=lambda s: (s.start, s.end, s.label))
 
     def scan(self, text: str | None) -> tuple:

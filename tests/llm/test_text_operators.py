@@ -142,6 +142,13 @@ def test_words_longer_than_a_chunk():
         assert (textwords.word_hashes(*textwords.strings(pa.array([text])))[0] == want).all()
 
 
+def test_license_spans_back_to_back():
+    scan = license_scan.Scanner(license_scan.BASE, license_scan.NOTICES, license_scan.PER_EDIT)
+    edited, exact = "redistribution and use in sauce and binary forms", "redistribution and use in source and binary forms"
+    for text in (f"{edited} {exact}", f"{exact} {edited}", f"{edited} {exact} {edited} {exact}"):
+        assert [s["edits"] > 0 for s in scan.scan(text)[7]] == [w == "sauce" for w in text.split() if w in ("sauce", "source")]
+
+
 def test_license_query(spark):
     rows = license_scan.license_scan(odd_documents(spark)).collect()
     assert [(r.doc_id, r.n_words, r.n_base, r.first_word, r.labels, r.score) for r in rows[:3]] == [(1, 0, 0, None, "", 0.0), (2, 0, 0, None, "", 0.0), (3, 30_000, 0, None, "", 0.0)]
