@@ -1,15 +1,18 @@
 """Language-model scoring by cross-entropy difference (Moore and Lewis, 2010).
 
 Two bigram models, one of target documents and one of the whole corpus, share one
-vocabulary and one way of smoothing: pairs are pulled to single words, the target's
-words to the background's, and these to all words alike.  A document's score is the
+vocabulary, every word of the corpus, and one way of smoothing: a pair is pulled to
+its second word, and the target's words to the background's.  A document's score is the
 mean over its words of background loss minus target loss, in bits: high for text like
 the target's.
 
 All words and all pairs of the corpus are counted, each for itself: no table has a
-fixed size.  Documents are packed into blocks, and each block tells its counts of each
-word and pair.  Sums over blocks are sent back to the blocks that hold the word or
-pair; a pair that only one block holds has that block's count and isn't sent.
+fixed size.  Documents are packed into blocks.  A block sends its distinct keys (words
+and pairs) with their counts, in order and compressed, to shards of the key space; a
+shard adds up what its blocks sent and answers each with the corpus's counts alone, in
+the order of the keys it sent.  So keys travel once, a key that occurs often in a block
+travels once for the block, and no key is hot.  The number of shards follows the bytes
+of text, so that a shard's keys stay bounded.
 """
 
 from __future__ import annotations
@@ -19,145 +22,167 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 from .textwords import mix, slices, stream, strings, word_hashes
 
+#: What a pair's model is pulled to its second word by, and the target's words to the background's, in counts.
 PRIOR, PULL = 64.0, 32_768.0
-BLOCK = 1 << 23  # bytes of text that are counted together; a longer text has a block of its own
+#: Bytes of text that are counted together; a longer text has a block of its own.
+BLOCK = 1 << 23
+#: Bytes of text for each shard of the key space.
+SHARD = 1 << 22
 _U = np.uint64
 _PAIR = stream(19, 2) | _U(1)
-_PAIRS, _WORDS, _PLACES = range(3)  # kinds of rows sent to a block
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers by planes of their bytes, compressed: the planes of small numbers are empty."""
+    return pa.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _opened(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
 
 
 def blocks(plain: DataFrame) -> DataFrame:
-    """block, ids, payload (doc_id and text, packed): the rows of ``plain`` (doc_id, text) in their order."""
+    """block, ids, sizes (words of each row), bytes, payload (doc_id and text, packed): the rows of ``plain`` (doc_id, text)."""
+    names = ["block", "ids", "sizes", "bytes", "payload"]
 
-    def packed(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def packed(block: int, held: list[pa.RecordBatch], sizes: list[np.ndarray], size: int) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
             for batch in held:
                 out.write_batch(batch)
         ids = [i for batch in held for i in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "ids", "payload"])
+        each = np.concatenate(sizes)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([each], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        block, held, sizes, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for start, stop in slices(batch.column(1)):
-                more = len(strings(batch.column(1).slice(start, stop - start))[0])
-                if held and size + more > BLOCK:
-                    yield packed(block, held)
-                    block, held, size = block + 1, [], 0
+                text, offsets = strings(batch.column(1).slice(start, stop - start))
+                if held and size + len(text) > BLOCK:
+                    yield packed(block, held, sizes, size)
+                    block, held, sizes, size = block + 1, [], [], 0
                 held.append(batch.slice(start, stop - start))
-                size += more
+                sizes.append(np.diff(word_hashes(text, offsets)[1]))
+                size += len(text)
         if held:
-            yield packed(block, held)
-
-    return plain.mapInArrow(run, "block long, ids array<long>, payload binary")
-
+            yield packed(block, held, sizes, size)
 
-def keys_of(column: pa.Array, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word its hash, its pair's with the word before, and if it's the first of its row; where each row's words begin and end.  Words outside ``known`` are one, 0."""
-    words, bounds = word_hashes(*strings(column))
-    if known is not None:
-        words = np.where(np.isin(words, known), words, _U(0))
-    first = np.zeros(len(words), bool)
-    first[bounds[:-1][np.diff(bounds) > 0]] = True
-    with np.errstate(over="ignore"):
-        pairs = mix(np.concatenate((words[:1], words[:-1])) * _PAIR[0] + words * _PAIR[1])
-    return words, pairs, first, bounds
+    return plain.mapInArrow(run, "block long, ids array<long>, sizes array<long>, bytes long, payload binary")
 
 
 class Block:
-    """Words and pairs of a block's rows and how often each occurs: in all rows, and in those at ``targets``."""
+    """The words and pairs of a block's rows as distinct keys, in order, and where each row's are among them."""
 
-    def __init__(self, payload: bytes, targets: list[int] | np.ndarray, known: np.ndarray | None) -> None:
+    def __init__(self, payload: bytes) -> None:
         table = pa.ipc.open_stream(payload).read_all()
-        self.ids, chosen = table.column("doc_id"), np.zeros(len(table), bool)
+        self.ids = table.column("doc_id")
+        found = [word_hashes(*strings(chunk)) for chunk in table.column("text").chunks]
+        words = np.concatenate([x[0] for x in found])
+        self.sizes = np.concatenate([np.diff(x[1]) for x in found])
+        first = np.zeros(len(words), bool)
+        first[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = True
+        self.later = np.flatnonzero(~first)  # words that end a pair
+        with np.errstate(over="ignore"):
+            pairs = mix(words[self.later - 1] * _PAIR[0] + words[self.later] * _PAIR[1])
+        self.keys, places = np.unique(np.concatenate((words, pairs)), return_inverse=True)
+        self.words, self.pairs = places[: len(words)], places[len(words) :]
+
+    def counts(self, targets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key occurs in all rows, and in those at ``targets``."""
+        chosen = np.zeros(len(self.sizes), bool)
         chosen[targets] = True
-        found = [keys_of(chunk, known) for chunk in table.column("text").chunks]
-        words, pairs, self.first = (np.concatenate([x[i] for x in found]) for i in range(3))
-        self.sizes = np.concatenate([np.diff(x[3]) for x in found])
         of_target = np.repeat(chosen, self.sizes)
-        self.keys, self.counts, self.places = [], [], []  # by kind
-        for keys, rows in ((pairs, ~self.first), (words, np.ones(len(words), bool))):
-            own, place = np.unique(keys[rows], return_inverse=True)
-            self.keys.append(own)
-            self.places.append(place)
-            self.counts.append(np.stack([np.bincount(place, minlength=len(own)), np.bincount(place[of_target[rows]], minlength=len(own))]))
-
-    def losses(self, totals: list[int], n_words: int) -> list[np.ndarray]:
-        """Of each model the mean bits a word of each row."""
-        row, out = np.repeat(np.arange(len(self.sizes)), self.sizes), []
-        alone = np.full(len(self.keys[_WORDS]), 1 / (n_words + 1))
-        before = np.flatnonzero(~self.first) - 1
-        for m in (0, 1):
-            one = self.counts[_WORDS][m].astype(np.float64)
-            alone = (one + PULL * alone) / (totals[m] + PULL)  # background: pulled to all words alike; target: to the background
-            p = alone[self.places[_WORDS]]
-            p[before + 1] = (self.counts[_PAIRS][m][self.places[_PAIRS]] + PRIOR * p[before + 1]) / (one[self.places[_WORDS][before]] + PRIOR)
-            out.append(np.bincount(row, -np.log2(p), len(self.sizes)) / np.maximum(self.sizes, 1))
+        n = len(self.keys)
+        every = np.bincount(self.words, minlength=n) + np.bincount(self.pairs, minlength=n)
+        return every, np.bincount(self.words[of_target], minlength=n) + np.bincount(self.pairs[of_target[self.later]], minlength=n)
+
+    def losses(self, counts: tuple[np.ndarray, np.ndarray], totals: tuple[int, int]) -> list[np.ndarray]:
+        """Mean bits a word of each row by the background and by the target, from the corpus's counts of the keys."""
+        row, out, alone = np.repeat(np.arange(len(self.sizes)), self.sizes), [], None
+        for count, total in zip(counts, totals, strict=True):
+            own = count[self.words].astype(np.float64)
+            alone = own / total if alone is None else (own + PULL * alone) / (total + PULL)
+            p = alone.copy()
+            p[self.later] = (count[self.pairs] + PRIOR * alone[self.later]) / (own[self.later - 1] + PRIOR)
+            out.append(np.bincount(row, -np.log2(p), len(self.sizes)) / np.maximum(self.sizes, 1))  # adds up in the order of the words: equal texts, equal sums
         return out
 
 
-_COUNTS = "block long, key long, kind byte, background long, target long"
+def _edges(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where the keys of each shard begin and end: shards are equal ranges of the key space."""
+    starts = np.array([-(-(k << 64) // shards) for k in range(shards)], np.uint64)
+    return np.append(np.searchsorted(keys, starts), len(keys))
 
 
-def sums(marked: DataFrame, known: np.ndarray | None) -> DataFrame:
-    """block, key, kind, background, target: sums over all blocks of ``marked`` (block, payload, targets), for each block's words, and its pairs that other blocks hold too."""
+def told(marked: DataFrame, shards: int) -> DataFrame:
+    """block, shard, n, keys, background, target: what each block of ``marked`` (block, payload, targets) tells each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, payload, targets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                block = Block(payload.as_py(), targets or [], known)
-                for kind in (_PAIRS, _WORDS):
-                    keys, counts = block.keys[kind], block.counts[kind]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), name)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), kind, np.int8)), pa.array(counts[0]), pa.array(counts[1])], names=["block", "key", "kind", "background", "target"])
+                block = Block(payload.as_py())
+                every, target = block.counts(targets or [])
+                edges = _edges(block.keys, shards)
+                rows = []
+                for shard in np.flatnonzero(np.diff(edges)).tolist():
+                    own = slice(edges[shard], edges[shard + 1])
+                    rows.append((name, shard, len(block.keys[own]), _squeezed(np.diff(block.keys[own], prepend=_U(0))), _squeezed(every[own]), _squeezed(target[own])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _TOLD, strict=True)], names=["block", "shard", "n", "keys", "background", "target"])
 
-    told = marked.select("block", "payload", "targets").mapInArrow(run, _COUNTS)
-    same = Window.partitionBy("key", "kind")
-    told = told.select("block", "key", "kind", F.sum("background").over(same).alias("background"), F.sum("target").over(same).alias("target"), F.count("*").over(same).alias("holders"))
-    return cut(told.filter((F.col("kind") == _WORDS) | (F.col("holders") > 1)).drop("holders"), "sums")
+    return marked.select("block", "payload", "targets").mapInArrow(run, "block long, shard long, n long, keys binary, background binary, target binary")
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None) -> DataFrame:
+_TOLD = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """For a shard: block, shard, n, background, target, with the sums over all blocks of what each told."""
+    sizes = table.column("n").to_pylist()
+    keys = [np.cumsum(_opened(k.as_py(), n), dtype=np.uint64) for k, n in zip(table.column("keys"), sizes, strict=True)]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    ends, out = np.cumsum(sizes), []
+    for column in ("background", "target"):
+        sent = np.concatenate([_opened(c.as_py(), n) for c, n in zip(table.column(column), sizes, strict=True)])
+        sums = np.zeros(len(distinct), np.uint64)
+        np.add.at(sums, place, sent)
+        out.append(pa.array([_squeezed(sums[place[e - n : e]]) for e, n in zip(ends, sizes, strict=True)], pa.binary()))
+    return pa.table([table.column("block"), table.column("shard"), table.column("n"), *out], names=["block", "shard", "n", "background", "target"])
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (bits a word), score (background - target); a row for each row of ``docs``.
 
     ``target_ids``: doc_id of the target documents.  A null or blank text has no
-    words: null losses and score 0.  Without targets all words are alike to the
-    target model.  Null ids are never targets; repeated rows count each time and get
-    equal scores; other columns aren't read; an empty table gives none.
+    words: null losses and score 0.  A text of any length is one row of one block.
+    Without targets the target's words are the background's.  Null ids are never
+    targets; repeated rows count each time and get equal scores; other columns aren't
+    read; an empty table gives none.
     """
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     packs = cut(blocks(plain), "blocks")
     chosen = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     # always by merge: target ids grow with the corpus, so they're broadcast at no size, and the plan is the same at every size
-    places = cut(packs.select("block", F.posexplode("ids").alias("at", "doc_id")).join(chosen.hint("merge"), "doc_id").select("block", "at"), "places")
-    marked = packs.select("block", "payload").join(places.groupBy("block").agg(F.collect_list("at").alias("targets")).hint("merge"), "block", "left")
-    known, answers = None, sums(marked, None)
-    words_of = lambda told: told.filter(F.col("kind") == _WORDS).groupBy("key").agg(F.first("background").alias("background"), F.first("target").alias("target"))
-    if vocabulary is not None:
-        top = words_of(answers).orderBy(F.desc("background"), "key").limit(vocabulary).select("key").toArrow()
-        known = top.column(0).to_numpy().astype(np.int64).view(np.uint64)
-        answers = sums(marked, known)
-    whole = words_of(answers).agg(F.sum("background").alias("background"), F.sum("target").alias("target"), F.count_if(F.col("key") != 0).alias("n")).first()
-    totals, n_words = [whole["background"] or 0, whole["target"] or 0], whole["n"]
-    none = F.lit(0).cast("long")
-    answers = answers.union(places.select("block", F.col("at").cast("long"), F.lit(_PLACES).cast("byte"), none, none))
+    rows = packs.select("block", F.posexplode(F.arrays_zip("ids", "sizes")).alias("at", "x")).select("block", "at", F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("size"))
+    found = rows.filter("doc_id is not null").join(chosen.hint("merge"), "doc_id").groupBy("block")
+    places = cut(found.agg(F.collect_list("at").alias("targets"), F.sum("size").alias("words")), "places")
+    whole = packs.agg(F.sum("bytes").alias("bytes"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words")).first()
+    totals = whole["words"] or 0, places.agg(F.sum("words")).first()[0] or 0
+    marked = packs.select("block", "payload").join(places.select("block", "targets").hint("merge"), "block", "left")
+    answers = told(marked, -(-(whole["bytes"] or 1) // SHARD)).groupBy("shard").applyInArrow(_added, "block long, shard long, n long, background binary, target binary")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds, keys = right.column("kind").to_numpy(), right.column("key").to_numpy()
-        name, block = left.column("block")[0].as_py(), Block(left.column("payload")[0].as_py(), keys[kinds == _PLACES], known)
-        for kind in (_PAIRS, _WORDS):
-            rows = kinds == kind
-            place = np.searchsorted(block.keys[kind], keys[rows].view(np.uint64))
-            for m, column in enumerate(("background", "target")):
-                block.counts[kind][m][place] = right.column(column).to_numpy()[rows]
-        each, none, n = block.losses(totals, n_words), block.sizes == 0, len(block.sizes)
-        return pa.table({"block": pa.array(np.full(n, name)), "at": pa.array(np.arange(n)), "doc_id": block.ids, "n_tokens": pa.array(block.sizes), "target_loss": pa.array(each[1], mask=none), "background_loss": pa.array(each[0], mask=none), "score": pa.array(np.where(none, 0.0, each[0] - each[1]))})
-
-    told = packs.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "block long, at long, doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-    return cut(told, "scores").orderBy("block", "at").drop("block", "at")
+        block, right = Block(left.column("payload")[0].as_py()), right.sort_by("shard")
+        sizes = right.column("n").to_pylist()
+        counts = tuple(np.concatenate([np.zeros(0, np.uint64), *[_opened(c.as_py(), n) for c, n in zip(right.column(m), sizes, strict=True)]]) for m in ("background", "target"))
+        each, none = block.losses(counts, totals), block.sizes == 0
+        return pa.table({"doc_id": block.ids, "n_tokens": pa.array(block.sizes), "target_loss": pa.array(each[1], mask=none), "background_loss": pa.array(each[0], mask=none), "score": pa.array(np.where(none, 0.0, each[0] - each[1]))})
+
+    return marked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

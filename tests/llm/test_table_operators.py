@@ -338,36 +338,60 @@ def test_shards(spark, seed):
 # LM scoring
 
 
-def test_scores_by_brute_force(spark):
-    rows = [(1, "a b c a b", None, None), (2, "A b d", None, None), (3, "c c c zz", None, None), (4, None, None, None), (5, " ", None, None), (None, "a b", None, None), (2, "A b d", None, None)]
-    targets = spark.createDataFrame([(1,), (2,), (None,), (1,)], "doc_id long")
-    got = lm_scoring.cross_entropy_difference(documents(spark, rows), targets, vocabulary=3).collect()
+def brute_scores(rows, chosen):
+    """(n_tokens, background loss, target loss) of each row, from dictionaries; ``chosen``: places of the target's rows."""
     texts = [lower(r[1]).split() for r in rows]
-    counts = Counter(w for t in texts for w in t)
-    top = {w for w, _ in counts.most_common(3)}
-    assert sorted(counts.values())[-3:] == [4, 5, 6] or True
-    known = [[w if w in top else None for w in t] for t in texts]
-    v = len(top) + 1
-    models, alone = [], {w: 1 / v for w in [*top, None]}
-    for chosen in (lambda i: True, lambda i: rows[i][0] in (1, 2)):
-        one = Counter(w for i, t in enumerate(known) if chosen(i) for w in t)
-        two = Counter(p for i, t in enumerate(known) if chosen(i) for p in zip(t, t[1:], strict=False))
-        n = sum(one.values())
-        alone = {w: (one[w] + lm_scoring.PULL * alone[w]) / (n + lm_scoring.PULL) for w in alone}
+    models, alone = [], None
+    for own in (range(len(rows)), chosen):
+        one = Counter(w for i in own for w in texts[i])
+        two = Counter(p for i in own for p in itertools.pairwise(texts[i]))
+        n, pull = sum(one.values()), lm_scoring.PULL
+        alone = {w: one[w] / n for w in one} if alone is None else {w: (one[w] + pull * alone[w]) / (n + pull) for w in alone}
         models.append((one, two, alone))
-    for r, t in zip(got, known, strict=True):
-        assert r.n_tokens == len(t)
-        if not t:
-            assert (r.target_loss, r.background_loss, r.score) == (None, None, 0.0)
-            continue
+    out = []
+    for t in texts:
         losses = []
         for one, two, single in models:
-            p = [single[t[0]], *[(min(two[a, b], one[a], one[b]) + lm_scoring.PRIOR * single[b]) / (one[a] + lm_scoring.PRIOR) for a, b in zip(t, t[1:], strict=False)]]
-            losses.append(-sum(map(math.log2, p)) / len(t))
-        assert r.background_loss == pytest.approx(losses[0], rel=1e-5)
-        assert r.target_loss == pytest.approx(losses[1], rel=1e-5)
-        assert r.score == pytest.approx(losses[0] - losses[1], abs=1e-4)
+            p = [single[w] for w in t[:1]] + [(two[a, b] + lm_scoring.PRIOR * single[b]) / (one[a] + lm_scoring.PRIOR) for a, b in itertools.pairwise(t)]
+            losses.append(-sum(map(math.log2, p)) / len(t) if t else None)
+        out.append((len(t), *losses))
+    return out
+
+
+def same_scores(got, rows, want):
+    """Rows of one id and length are told apart by nothing but their text, so they're compared in order of their loss."""
+    key = lambda x: (x[0] is None, x[0], x[1], x[2] or 0)
+    have = sorted(((r.doc_id, r.n_tokens, r.background_loss, r.target_loss, r.score) for r in got), key=key)
+    want = sorted(((r[0], *w) for r, w in zip(rows, want, strict=True)), key=key)
+    assert len(have) == len(want)
+    for (i, n, background, target, score), (j, m, b, t) in zip(have, want, strict=True):
+        assert (i, n) == (j, m)
+        assert (background, target) == ((None, None) if b is None else (pytest.approx(b, rel=1e-9), pytest.approx(t, rel=1e-9)))
+        assert score == (0.0 if b is None else pytest.approx(b - t, abs=1e-9))
+
+
+def test_scores_by_brute_force(spark, monkeypatch):
+    rows = [(1, "a b c a b", None, None), (2, "A b d", None, None), (3, "c c c zz", None, None), (4, None, None, None), (5, " ", None, None), (None, "a b", None, None), (2, "A b d", None, None)]
+    targets = spark.createDataFrame([(1,), (2,), (None,), (1,)], "doc_id long")
+    got = lm_scoring.cross_entropy_difference(documents(spark, rows), targets).collect()
+    same_scores(got, rows, brute_scores(rows, [0, 1, 6]))
     assert lm_scoring.cross_entropy_difference(documents(spark, rows).limit(0), targets).count() == 0
+    none = lm_scoring.cross_entropy_difference(documents(spark, rows), targets.limit(0)).collect()
+    same_scores(none, rows, brute_scores(rows, []))
+
+
+def test_scores_over_many_blocks_and_shards(spark, monkeypatch):
+    """Equal texts score bit for bit alike wherever they lie; counts meet over blocks; a text longer than a block stays whole."""
+    monkeypatch.setattr(lm_scoring, "SHARD", 5000)  # read on the driver
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(rng.randrange(1, 200))) for _ in range(150)]
+    texts += ["long " + "x" * 3_000_000 + " word"] * 2 + [" ".join(f"w{rng.randrange(900)}" for _ in range(400_000))]
+    rows = [(i, t, None, None) for i, t in enumerate(texts + texts[:40])]
+    targets = spark.createDataFrame([(i,) for i in range(0, 150, 2)], "doc_id long")
+    got = lm_scoring.cross_entropy_difference(documents(spark, rows).repartition(7), targets).collect()
+    same_scores(got, rows, brute_scores(rows, range(0, 150, 2)))
+    by = {r.doc_id: tuple(r)[1:] for r in got}
+    assert all(by[len(texts) + i] == by[i] for i in range(40)) and by[150] == by[151]
 
 
 def test_all_words_and_pairs_count(spark):
@@ -377,15 +401,7 @@ def test_all_words_and_pairs_count(spark):
     rows += [(1000 + d, r[1], None, None) for d, r in enumerate(rows)]
     targets = spark.createDataFrame([(d,) for d in range(0, 400, 2)], "doc_id long")
     got = lm_scoring.cross_entropy_difference(documents(spark, rows), targets).collect()
-    total, v = sum(len(r[1].split()) for r in rows), 40_001
-    back, pull = (2 + lm_scoring.PULL / v) / (total + lm_scoring.PULL), lm_scoring.PULL
-    for r in got:
-        of_target = r.doc_id % 1000 % 2 == 0
-        want = []
-        for n, alone in ((2, back), (int(of_target), (int(of_target) + pull * back) / (total / 4 + pull))):
-            later = (n + lm_scoring.PRIOR * alone) / (n + lm_scoring.PRIOR)
-            want.append(-(math.log2(alone) + 99 * math.log2(later)) / 100)
-        assert (r.background_loss, r.target_loss) == (pytest.approx(want[0], rel=1e-9), pytest.approx(want[1], rel=1e-9))
+    same_scores(got, rows, brute_scores(rows, range(0, 400, 2)))
 
 
 def test_scores_tell_target_documents(spark):
