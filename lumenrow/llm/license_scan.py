@@ -9,9 +9,11 @@ matched word by word without edits.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import ahocorasick
 import pyarrow as pa
@@ -36,6 +38,8 @@ NOTICES = {
 }
 #: One edit is allowed for so many characters of a notice.
 PER_EDIT = 12
+#: Characters of the grams that a window is tried by before it's matched.
+GRAM = 3
 
 _APART = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -55,6 +59,10 @@ class Span:
     edits: int
 
 
+def grams(text: str) -> set[str]:
+    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
 class Scanner:
     def __init__(self, base: dict[str, str], notices: dict[str, str], per_edit: int) -> None:
         self.base = [(f" {phrase} ", label) for phrase, label in base.items()]
@@ -66,35 +74,47 @@ class Scanner:
             cuts = [len(phrase) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 found.setdefault(phrase[a:b], []).append((len(self.notices), a))
-            self.notices.append((phrase, label, k, regex.compile(f"(?b)(?:{regex.escape(phrase, literal_spaces=True)}){{e<={k}}}")))
+            own = grams(phrase)
+            self.notices.append((phrase, label, k, regex.compile(f"(?b)(?:{regex.escape(phrase, literal_spaces=True)}){{e<={k}}}"), own, len(own) - GRAM * k))
         for piece, uses in found.items():
             self.seeds.add_word(piece, (len(piece), uses))
         self.seeds.make_automaton()
 
     def fuzzy(self, joined: str) -> list[Span]:
-        """Spans of notices in words joined by single spaces, best match first of each stretch, then those before and after it, none overlapping for one notice."""
-        windows: dict[int, list[list[int]]] = {}
+        """Spans of notices in words joined by single spaces, none overlapping for one notice; of overlapping matches the one with fewer edits stays.
+
+        Each seed has a window that holds whatever match it's part of; the time is
+        proportional to the number of seeds.  An edit spoils at most ``GRAM`` of a
+        notice's grams, so a window that lacks more of them needs no matching.
+        """
+        windows, found = set(), []
         for last, (size, uses) in self.seeds.iter(joined):
             for n, offset in uses:
-                phrase, _, k, _ = self.notices[n]
+                phrase, _, k, *_ = self.notices[n]
                 start = last + 1 - size - offset - k
-                end = start + len(phrase) + 2 * k
-                own = windows.setdefault(n, [])
-                if own and start <= own[-1][1]:
-                    own[-1] = [min(own[-1][0], start), max(own[-1][1], end)]
-                else:
-                    own.append([start, end])
+                windows.add((n, max(0, start), min(len(joined), start + len(phrase) + 2 * k)))
+
+        def match(n: int, start: int, end: int) -> None:
+            phrase, _, k, pattern, own, least = self.notices[n]
+            if end - start >= len(phrase) - k and len(own & grams(joined[start:end])) >= least and (m := pattern.search(joined, start, end)):
+                heappush(found, (sum(m.fuzzy_counts), m.start(), m.end(), n, start, end))
+
+        for window in windows:
+            match(*window)
+        taken: dict[int, list[tuple[int, int]]] = {}
         spans = []
-        for n, own in windows.items():
-            _, label, _, pattern = self.notices[n]
-            for start, end in own:
-                rest = [(max(0, start), min(len(joined), end))]
-                while rest:  # the best match of a stretch, then what lies before and after it
-                    start, end = rest.pop()
-                    m = pattern.search(joined, start, end) if end > start else None
-                    if m:
-                        spans.append(Span(label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                        rest += [(m.end(), end), (start, m.start())]
+        while found:
+            edits, start, end, n, low, high = heappop(found)
+            own = taken.setdefault(n, [])
+            at = bisect_left(own, (start, start))
+            over = [x for x in own[max(0, at - 1) : at + 1] if x[0] < end and x[1] > start]
+            if over:  # what the window has before and after the span taken
+                if over[0] != (start, end):
+                    match(n, low, over[0][0])
+                    match(n, over[-1][1], high)
+                continue
+            own.insert(at, (start, end))
+            spans.append(Span(self.notices[n][1], start, end, edits))
         return sorted(spans, key=lambda s: (s.start, s.end, s.label))
 
     def scan(self, text: str | None) -> tuple:
@@ -103,11 +123,12 @@ class Scanner:
         padded = f" {b' '.join(words).decode()} "
         places, labels = [], set()
         for phrase, label in self.base:
-            at = padded.find(phrase)
+            at, before, word = padded.find(phrase), 0, 0
             while at >= 0:
-                places.append(padded.count(" ", 0, at))
+                word += padded.count(" ", before, at)
+                places.append(word)
                 labels.add(label)
-                at = padded.find(phrase, at + 1)
+                at, before = padded.find(phrase, at + 1), at
         spans = self.fuzzy(padded[1:-1]) if words else []
         both = labels | {s.label for s in spans}
         best = max([0.0, *(1.0 for _ in places[:1]), *(max(0.0, 1 - s.edits / max(1, s.end - s.start)) for s in spans)])
@@ -126,9 +147,9 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base",
 def license_scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str, str] | None = None, per_edit: int = PER_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: base phrases counted, notices verified with their spans.
 
-    Null text counts as empty: no words, no labels, score 0, null word places.  A
-    null id stays null; repeated rows give equal rows; other columns aren't read;
-    an empty table gives none.  score: 1 with a base phrase, else the best notice's
+    Null text counts as empty: no words, no labels, score 0, null word places.  Texts
+    of any length are scanned whole.  A null id stays null; repeated rows give equal
+    rows; other columns aren't read; an empty table gives none.  score: 1 with a base phrase, else the best notice's
     share of unchanged characters, else 0.
     """
     key = tuple((BASE if base is None else base).items()), tuple((NOTICES if notices is None else notices).items()), per_edit

@@ -149,6 +149,23 @@ def test_license_spans_back_to_back():
         assert [s["edits"] > 0 for s in scan.scan(text)[7]] == [w == "sauce" for w in text.split() if w in ("sauce", "source")]
 
 
+def test_license_scan_takes_linear_time():
+    """Ten times the text, hostile or not, takes about ten times as long."""
+    import time
+
+    scan = license_scan.Scanner(license_scan.BASE, license_scan.NOTICES, license_scan.PER_EDIT)
+    edited = "redistribution and use in sauce and binary forms cc by all rights reserved "
+    for unit in (edited, "permission is hereby ", "cc by "):
+        took = []
+        for size in (100_000, 1_000_000):
+            text = unit * (size // len(unit))
+            start = time.process_time()
+            n = scan.scan(text)
+            took.append(time.process_time() - start)
+        assert took[1] < 14 * took[0] + 0.2
+        assert n[1] == text.count("cc by") + text.count("all rights")
+
+
 def test_license_query(spark):
     rows = license_scan.license_scan(odd_documents(spark)).collect()
     assert [(r.doc_id, r.n_words, r.n_base, r.first_word, r.labels, r.score) for r in rows[:3]] == [(1, 0, 0, None, "", 0.0), (2, 0, 0, None, "", 0.0), (3, 30_000, 0, None, "", 0.0)]
