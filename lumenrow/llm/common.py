@@ -4,26 +4,50 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # folders of the tables that ``cut`` has made
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset (local mode, tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one if all executors are on the driver's machine
+    (local mode, tests); on a cluster others couldn't read it, so that is an error.
+    """
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="lumenrow-"))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends here and survives the loss of executors."""
+def cut(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it again: lineage ends here and survives the loss of executors.
+
+    ``used``: tables written by ``cut`` that nothing reads from now on; they're deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    discard(*used)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written, by Spark's own file systems."""
+    for table in tables:
+        if path := _WRITTEN.pop(table, None):
+            context = table.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, discard
 from .textwords import strings
 
 #: Bytes scored at once: their table reads for all languages take some 150 bytes each.
@@ -198,13 +199,27 @@ class ContextTrees:
 
 
 def sample(docs: DataFrame, per_language: int, max_bytes: int) -> DataFrame:
-    """lang, text of at most ``per_language`` labelled documents a language, chosen by hash of their id.
+    """lang, text of at most ``per_language`` labelled documents a language, those whose ids have the least hashes.
 
-    Documents whose crc32(id as text) mod 5 is 0 are held out, and so are texts of over ``max_bytes``.
+    Documents whose crc32(id as text) mod 5 is 0 are held out, and so are texts of over ``max_bytes``;
+    of rows that share an id the least text stands for them.  Languages are counted first, and only
+    hashes below a bound that leaves about twice as many as wanted are gathered with their texts.
     """
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     fit = F.col("lang").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0) & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= max_bytes)
-    return docs.filter(fit).withColumn("turn", F.row_number().over(rank)).filter(F.col("turn") <= per_language).select("lang", "text")
+    own = docs.filter(fit).withColumn("place", F.xxhash64("doc_id") / 2.0**64 + 0.5)
+    spark, counts = docs.sparkSession, {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    slack = 2.0
+    while True:  # again, with a higher bound, should a language have fewer than it could
+        bounds = {lang: min(1.0, slack * max(per_language, 50) / n) for lang, n in counts.items()}
+        table = F.broadcast(spark.createDataFrame(list(bounds.items()), "lang string, bound double"))
+        near = own.join(table, "lang").filter((F.col("place") < F.col("bound")) | (F.col("bound") >= 1)).groupBy("lang", "doc_id", "place").agg(F.min("text").alias("text"))
+        rank = Window.partitionBy("lang").orderBy("place", "doc_id")
+        picked = cut(near.withColumn("turn", F.row_number().over(rank)).filter(F.col("turn") <= per_language).select("lang", "text"), "sample")
+        got = {r["lang"]: r["n"] for r in picked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        if all(got.get(lang, 0) >= per_language or bounds[lang] >= 1 for lang in counts):
+            return picked
+        discard(picked)
+        slack *= 16
 
 
 _TREES: dict[str, ContextTrees] = {}
@@ -221,13 +236,17 @@ def identify(docs: DataFrame, per_language: int = 150, max_bytes: int = 65536, o
     nothing else.  ``und``: text null or without a letter, or nothing to learn
     from.  score: the winner's posterior under equal priors, 0 for ``und``; of
     equal codes the first language by name wins.  A row without an id counts as
-    not held out and isn't learnt from.
+    not held out and isn't learnt from.  Texts of any length are scored whole, by
+    pieces; repeated rows get equal results; columns of any names may stand in
+    ``keep`` but for those in ``names``; an empty table gives none.
     """
     spark = docs.sparkSession
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     texts: dict[str, list[bytes]] = {}
-    for row in sample(plain, per_language, max_bytes).collect():
+    picked = sample(plain, per_language, max_bytes)
+    for row in picked.collect():
         texts.setdefault(row.lang, []).append(row.text.encode())
+    discard(picked)
     for lang in texts:
         texts[lang].sort()
     shipped = spark.sparkContext.broadcast(pickle.dumps(ContextTrees(texts, order) if texts else None))

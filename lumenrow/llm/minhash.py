@@ -4,9 +4,7 @@ Each distinct shingle set gets 128 bins by one hash; empty bins borrow from
 others by optimal densification (Shrivastava, 2017).  32 bands of 4 bins deal the
 sets into buckets, and in each bucket only star-shaped edges, from one centre to
 the other members, are candidates: their number is bounded by the members.
-Candidates are confirmed on full shingle sets.  A bucket whose members are still
-in several components gets further stars, from centres inside its largest
-component, until a round finds no new link.
+Candidates are confirmed on full shingle sets.
 
 Members of buckets that are in several components even then meet once more: of
 two similar sets, ordered by one order of all shingles, the beginnings have a
@@ -16,7 +14,9 @@ template gave them.  Every pair of components in a bucket is so tested or exclud
 exactly.
 
 Equal sets are one class before any pair is made, so copies cost one row each.
-Links, components and fingerprints stay distributed throughout.
+Links, components and fingerprints stay distributed throughout.  Members of a bucket
+and holders of a shingle are dealt with a salt, so that a hot one goes to several tasks; a star's
+centre meets its members in joins that adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 from .textwords import mix, slices, stream, strings, word_hashes
 
 WORDS, BINS, ROWS = 5, 128, 4
+#: A bucket's members, and a shingle's holders, are dealt to so many tasks.
+SALTS = 8
 BANDS = BINS // ROWS
 _U = np.uint64
 _SHIFT = _U(64 - 7)  # the top 7 bits name the bin
@@ -136,9 +138,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct()
 
 
-def gathered(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A written table in one partition if it has no more than ``rows`` rows, so that steps on it need no shuffle; else as it is."""
-    return df.coalesce(1) if df.count() <= rows else df
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` (node and others) with a salt, so that a key's rows can go to as many tasks as there are salts."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+
+
+def salted(few: DataFrame) -> DataFrame:
+    """``few`` (a row for each key) for each salt."""
+    return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -147,25 +154,30 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn (Kiveris et al., 2014): a logarithmic
     number of joins in practice, each result written to the shared folder.
     """
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = gathered(cut(edges, "edges"))
-    before = None
+    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
-        edges = gathered(edges)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        edges = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large", edges)
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         small = edges.join(least, "u")
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "small")
-        edges = gathered(edges)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "small", edges)
+        # done if all are stars: each node has one edge down, and none has edges both up and down
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or down = 1 and up = 1").isEmpty():
             break
-        before = state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after ``links`` (a, b) between any nodes: only the parts that they touch are joined anew."""
+    part = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part"))
+    of_parts = links.join(part("a"), "a", "left").join(part("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    moved = cut(components(of_parts), "moved")
+    old = labels.join(moved.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return cut(old.union(moved.join(labels, "node", "left_anti").select("node", "component")), "components", moved, labels)
+
+
 def shingle_rows(texts: DataFrame) -> DataFrame:
     """node, text_set (a hash of the whole set), shingle: a row for each shingle of each row of ``texts`` (node, text)."""
 
@@ -192,7 +204,7 @@ def prefixes(texts: DataFrame, percent: int) -> DataFrame:
     """
     rows = cut(shingle_rows(texts).distinct(), "shingles")
     common = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    ordered = rows.join(common, "shingle", "left").groupBy("node", "text_set").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle"))).alias("all")).withColumn("size", F.size("all").cast("long"))
+    ordered = spread(rows).join(salted(common), ["shingle", "salt"], "left").groupBy("node", "text_set").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle"))).alias("all")).withColumn("size", F.size("all").cast("long"))
     long = F.expr(f"cast(size - (size * {percent} + 99) div 100 + 1 as int)")
     short = F.expr(f"size - (2 * size * {percent} + {99 + percent}) div {100 + percent} + 1")
     told = ordered.select("node", "size", short.alias("upto"), F.posexplode(F.slice("all", F.lit(1), long)).alias("at", "x"))
@@ -208,7 +220,7 @@ def across(parts: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     rows = cut(prefixes(texts, percent).join(parts, "node"), "prefixes")
     held = rows.groupBy("shingle", "part").agg(F.count("*").alias("n"), F.max("short").alias("short"))
     top = held.groupBy("shingle").agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("parts"), F.max("short").alias("any")).filter("parts > 1 and any")
-    rows = cut(rows.join(top.select("shingle", F.col("top.part").alias("top")), "shingle").withColumn("main", F.col("part") == F.col("top")).drop("top"), "shared")
+    rows = cut(spread(rows).join(salted(top.select("shingle", F.col("top.part").alias("top"))), ["shingle", "salt"]).withColumn("main", F.col("part") == F.col("top")).drop("top", "salt"), "shared")
     names = ("node", "size", "at", "part")
     one = lambda side, which: rows.filter(which).select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in names])
     # the shared shingle that comes first leaves room for the overlap that similarity needs
@@ -223,48 +235,38 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     A null or blank text has no shingles and is linked with nothing.  A row whose
     id is null can't be named: component_id is null and it's kept.  Rows that
-    share an id are one document.  Equal sets are linked whatever their number.
-    Columns other than the two named aren't read; an empty table gives none.
+    share an id are one document: whatever is linked with one of their sets is linked
+    with all.  Equal sets are linked whatever their number.  Texts and words of any
+    length are taken whole.  Columns other than the two named aren't read; an empty
+    table gives none.
     """
-    spark = docs.sparkSession
     sig = cut(signatures(docs, id_col, text_col), "signatures")
     classes = cut(sig.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")).filter("node is not null"), "classes")
     dealt = classes.select("node", F.explode("bands").alias("key"))
     centres = dealt.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("key", "a")
-    buckets = cut(dealt.join(centres, "key").select("key", "a", "node"), "buckets")
-    wanted = buckets.select("node").union(buckets.select(F.col("a").alias("node"))).distinct()
+    buckets = cut(spread(dealt).join(salted(centres), ["key", "salt"]).select("key", "a", "node"), "buckets")
+    wanted = buckets.select("node").distinct()
     named = docs.select(docs[id_col].cast("long").alias("node"), docs[text_col].cast("string").alias("text")).filter("node is not null and text is not null")
-    texts = cut(named.join(wanted, "node", "left_semi"), "texts")
+    texts = cut(named.join(wanted, "node", "left_semi").withColumn("copy", F.xxhash64("text")).dropDuplicates(["node", "copy"]).drop("copy"), "texts")
+
+    # an id that stands for several sets links their classes
+    several = sig.filter("fp is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("fp")).alias("lo"), F.max(F.xxhash64("fp")).alias("hi")).filter("lo <> hi").select("doc_id")
+    of_ids = sig.join(several, "doc_id", "left_semi").join(classes.select("fp", "node"), "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
 
     tested = cut(buckets.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    links = cut(confirm(tested, texts, percent), "links")
-    labels = cut(components(links), "components")
-    members, turn = buckets.select("key", "node"), 0
-    while True:
-        turn += 1
-        now = cut(members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "members")
-        split = now.groupBy("key", "part").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("a"))
-        star = split.groupBy("key").agg(F.max(F.struct("n", "a", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-        members = cut(now.join(star, "key").select("key", "node", "part", "top"), "open")  # a bucket in one component is done
-        fresh = members.filter("part <> top.part").select(F.col("top.a").alias("x"), F.col("node").alias("y"))
-        members = members.select("key", "node")
-        fresh = fresh.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = cut(fresh, "pairs")
-        found = cut(confirm(fresh, texts, percent), "links")
-        tested = tested.union(fresh)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        labels = cut(components(links), "components")
-    # a bucket of two parts is done if each has one member; whatever is left meets by shared rare shingles
-    parts = cut(now.join(star.select("key"), "key", "left_semi").select("node", "part").distinct(), "parts")
+    labels = cut(components(confirm(tested, texts, percent).union(of_ids)), "components")
+    now = cut(buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "members", buckets)
+    several = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("key")
+    # members of buckets in several components meet by shared rare shingles
+    parts = cut(spread(now).join(salted(several), ["key", "salt"], "left_semi").select("node", "part").distinct(), "parts", now)
     if not parts.isEmpty():
-        left = cut(texts.join(parts, "node", "left_semi"), "texts")
-        fresh = cut(across(parts, left, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = cut(confirm(fresh, left, percent), "links")
+        left = cut(texts.join(parts, "node", "left_semi"), "texts", texts)
+        fresh = cut(across(parts, left, percent).join(tested, ["a", "b"], "left_anti"), "pairs", tested)
+        found = cut(confirm(fresh, left, percent), "links", left, fresh)
         if not found.isEmpty():
-            labels = cut(components(links.union(found)), "components")
+            labels = joined(labels, found)
+        discard(found)
+    discard(texts, tested, parts)
     by_set = classes.select("fp", "node").join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("part"))
-    # a document whose id stands for several sets belongs to the smallest component of them
     whole = sig.join(by_set, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id")).alias("component_id"))
     return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
