@@ -1,82 +1,157 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Tokens are counted in cells of (source, language, topic).  Raking scales the
-cells' weights to each marginal in turn until all hold.  Documents are then drawn
-with probabilities in proportion to fitted over available tokens, at most 1, whose
-expected tokens add up to the budget; a document's draw is a fixed number made
-from its id, so it doesn't depend on partitions or order.
-
-The cells are one aggregation over documents; all raking happens on cells, whose
-number is that of the combinations in use.
+Tokens are counted in cells of (source, language, topic).  Raking finds a factor for
+each category so that expected tokens, at most a cell's own, meet the targets of all
+three sides; a document is drawn with its cell's expected over own tokens.  A draw is a
+fixed number made from the document's id, so it doesn't depend on partitions or order.
+
+Sources may be many, hosts say: each is one row that holds its cells, and its factor is
+solved inside the row.  Languages and topics are few: their factors are the driver's, and
+a round is one aggregation to languages x topics sums.  Rounds go on until the largest
+relative error of a marginal is below the tolerance; the error that is left is reported.
+
+Topics are those of a column, or the nearest of a few centres of the texts' shape, found
+by Lloyd's steps in whole numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 from .quality import statistics
 
 SIDES = ("source", "lang", "topic")
 NONE = "(none)"
-#: Without targets, a side's target shares are its natural shares to this power, made to add up to 1.
-TEMPER = 0.7
-
-
-def topic_of(text: Column, tokens: Column) -> Column:
-    """A rough topic from the text's shape: symbols, numbers, listing, brief or prose."""
+#: Shares by side: weights of named categories, or the power of the natural shares (0: equal shares).
+#: Categories that aren't named keep their natural share; the named ones that are there share the rest by weight.
+TARGETS: dict[str, dict[str, float] | float] = {"source": 0.0, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.9}
+BUDGET, SEED, TOLERANCE = 0.5, "mix", 1e-12
+#: Raking stops after so many rounds without a better error, or so many in all: targets that can't be met keep an error.
+PATIENCE, ROUNDS = 15, 1000
+TOPICS, STEPS = 4, 8
+#: Characters that a text's shape is told by, each a rate in a thousand; beside them words in a thousand characters.
+SHAPE = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?", "#*$%&|<>{}[]=", "\n")
+
+
+def shape(text: Column, tokens: Column) -> list[Column]:
+    """Whole numbers from 0 to 1000."""
     text = F.coalesce(text, F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>{}[]=", ""))
-    digits = F.length(text) - F.length(F.translate(text, "0123456789", ""))
-    lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
-    return F.when(20 * symbols > size, "symbols").when(20 * digits > size, "numbers").when(8 * lines > tokens, "listing").when(tokens < 100, "brief").otherwise("prose")
-
-
-def _targets(cells: DataFrame, side: str, targets: dict[str, float] | None) -> DataFrame:
-    """``cells`` with target_<side>, a share; of a category outside given targets it's 0."""
-    if targets is None:
-        own = F.pow(F.sum("tokens").over(Window.partitionBy(side)).cast("double"), TEMPER)
-        each = F.row_number().over(Window.partitionBy(side).orderBy(*SIDES)) == 1
-        told = cells.withColumn("own", own).withColumn("each", F.when(each, F.col("own")).otherwise(0.0))
-        return told.withColumn(f"target_{side}", F.col("own") / F.sum("each").over(Window.partitionBy())).drop("own", "each")
-    whole = sum(targets.values())
-    share = F.lit(0.0)
-    for name, weight in targets.items():
-        share = F.when(F.col(side) == name, F.lit(weight / whole)).otherwise(share)
-    return cells.withColumn(f"target_{side}", share)
-
-
-def rake(cells: DataFrame, rounds: int = 12) -> DataFrame:
-    """``cells`` (sides, tokens, target_<side>) with ``fitted`` shares.
-
-    ``cells`` is one partition, so no step moves data.  A category without tokens can't be scaled and stays 0.
+    counts = [F.length(text) - F.length(F.translate(text, letters, "")) for letters in SHAPE]
+    return [F.floor(1000 * c / size).cast("long") for c in [*counts, tokens]]
+
+
+def topics(rows: DataFrame, shapes: list[str]) -> Column:
+    """The nearest centre's name; ``rows`` are read once for each step, and the driver gets the centres only.
+
+    Centres begin at the distinct shapes with the least digests; one without rows stays; of equally near ones the first wins.
+    """
+    digest = F.md5(F.concat_ws(",", *shapes))
+    centres = [tuple(r) for r in rows.select(*shapes).distinct().orderBy(digest).limit(TOPICS).collect()]
+
+    def nearest() -> Column:
+        away = [sum(((F.col(s) - x) * (F.col(s) - x) for s, x in zip(shapes, c, strict=True)), F.lit(0)) for c in centres]
+        out = F.lit(len(away) - 1)
+        for i in range(len(away) - 2, -1, -1):
+            out = F.when(away[i] <= F.least(*away[i:], F.lit(1 << 62)), i).otherwise(out)
+        return out
+
+    for _ in range(STEPS):
+        if not centres:
+            break
+        sums = rows.groupBy(nearest().alias("i")).agg(F.count("*").alias("n"), *[F.sum(s).alias(s) for s in shapes]).collect()
+        moved = list(centres)
+        for r in sums:
+            moved[r["i"]] = tuple(r[s] // r["n"] for s in shapes)
+        if moved == centres:
+            break
+        centres = moved
+    return F.concat(F.lit("t"), nearest().cast("string")) if centres else F.lit("t0")
+
+
+def shares(natural: dict[str, float], wanted: dict[str, float] | float | None) -> dict[str, float]:
+    """Target shares of the categories that are there, from their natural ones."""
+    if isinstance(wanted, dict):
+        named = {k: wanted[k] for k in natural if k in wanted}
+        rest = 1 - sum(v for k, v in natural.items() if k not in named)
+        whole = sum(named.values())
+        return {k: rest * named[k] / whole if k in named and whole else v for k, v in natural.items()}
+    own = {k: v ** (1.0 if wanted is None else wanted) if v else 0.0 for k, v in natural.items()}
+    whole = sum(own.values())
+    return {k: v / whole if whole else 0.0 for k, v in own.items()}
+
+
+def _source_targets(sources: DataFrame, wanted: dict[str, float] | float | None, tokens: int) -> DataFrame:
+    """``sources`` (source, tokens and others) with ``share``; the driver gets sums only, for sources may be many."""
+    if isinstance(wanted, dict):
+        weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv]), F.col("source")), F.lit(0.0)) if wanted else F.lit(0.0)
+        named = F.col("source").isin(list(wanted))
+        r = sources.agg(F.sum(F.when(named, weight)).alias("whole"), F.sum(F.when(~named, F.col("tokens"))).alias("rest")).first()
+        rest = 1 - (r["rest"] or 0) / tokens
+        return sources.withColumn("share", F.when(named & F.lit(bool(r["whole"])), weight * (rest / (r["whole"] or 1.0))).otherwise(F.col("tokens") / tokens))
+    own = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(1.0 if wanted is None else float(wanted)))).otherwise(0.0)
+    return sources.withColumn("share", own / (sources.agg(F.sum(own).alias("w")).first()["w"] or 1.0))
+
+
+def rake(cells: DataFrame, targets: dict[str, Any], budget: float, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[DataFrame, float, int]:
+    """(source, lang, topic, tokens, expected), the largest relative error of a marginal, and the rounds it took.
+
+    ``cells``: source, lang, topic, tokens.  Expected tokens add up to ``budget`` of all
+    as far as targets can be met with no more than a cell has.
     """
-    cells = cells.withColumn("fitted", F.col("tokens").cast("double"))
-    for turn in range(rounds):
-        for side in SIDES:
-            now = F.sum("fitted").over(Window.partitionBy(side))
-            cells = cells.withColumn("fitted", F.when(now > 0, F.col("fitted") * F.col(f"target_{side}") / now).otherwise(0.0))
-        if turn % 4 == 3:
-            cells = cut(cells, "raked").coalesce(1)
-    return cells
-
-
-def calibrate(cells: DataFrame, budget: float) -> DataFrame:
-    """``cells`` with ``inclusion``: min(1, c x fitted / tokens), c such that expected tokens are ``budget`` of all."""
-    ratio = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(0.0)
-    ahead = Window.partitionBy().orderBy(F.desc("ratio"), *SIDES)
-    before = ahead.rowsBetween(Window.unboundedPreceding, -1)
-    rest = ahead.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    told = cells.withColumn("ratio", ratio).withColumn("taken", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("left", F.sum("fitted").over(rest))
-    whole = F.sum("tokens").over(Window.partitionBy()) * budget
-    told = told.withColumn("scale", F.when(F.col("left") > 0, (whole - F.col("taken")) / F.col("left"))).withColumn("place", F.row_number().over(ahead))
-    fits = F.col("scale") * F.col("ratio") <= 1 + 1e-12
-    told = told.withColumn("first", F.min(F.when(fits, F.col("place"))).over(Window.partitionBy()))
-    told = told.withColumn("scale", F.max(F.when(F.col("place") == F.col("first"), F.col("scale"))).over(Window.partitionBy()))
-    inclusion = F.when(F.col("ratio") <= 0, 0.0).when(F.col("place") < F.col("first"), 1.0).when(F.col("first").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("scale") * F.col("ratio"))))
-    return told.withColumn("inclusion", inclusion).select(*SIDES, "fitted", "inclusion")
+    sides = {side: {r[0]: r[1] for r in cells.groupBy(side).agg(F.sum("tokens")).orderBy(side).collect()} for side in SIDES[1:]}
+    tokens = sum(sides["lang"].values())
+    if not tokens:
+        return cells.withColumn("expected", F.lit(0.0)), 0.0, 0
+    names = {side: list(sums) for side, sums in sides.items()}
+    wanted = {side: list(shares({k: v / tokens for k, v in sums.items()}, targets.get(side)).values()) for side, sums in sides.items()}
+    wanted = {side: [x * budget * tokens for x in own] for side, own in wanted.items()}
+    n_topics = len(names["topic"])
+    place = lambda side: F.array_position(F.array(*[F.lit(x) for x in names[side]]), F.col(side)) - 1
+    packed = cells.withColumn("at", (place("lang") * n_topics + place("topic")).cast("int"))
+    sources = packed.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("cells"), F.sum("tokens").alias("tokens"))
+    sources = cut(_source_targets(cut(sources, "sources"), targets.get("source"), tokens).withColumn("target", F.col("share") * (budget * tokens)).drop("share"), "targets")
+    factors = {side: [1.0] * len(own) for side, own in names.items()}
+
+    def solved() -> DataFrame:
+        """``sources`` with ``e``: the expected tokens of each cell, when each source's factor meets its target."""
+        weights = [b * c for b in factors["lang"] for c in factors["topic"]]
+        told = sources.withColumn("__w", F.array(*[F.lit(w) for w in weights]))
+        told = told.withColumn("__x", F.expr("array_sort(transform(cells, x -> named_struct('w', __w[x.at], 'x', x.tokens)))"))
+        # from the cell with the least weight on: it and those before it in proportion, those after it whole
+        step = "named_struct('some', s.some + x.w * x.x, 'left', s.left - x.x, 'a', IF(s.some + x.w * x.x > 0 AND target > s.left - x.x AND (target - s.left + x.x) / (s.some + x.w * x.x) * x.w <= 1, (target - s.left + x.x) / (s.some + x.w * x.x), s.a))"
+        told = told.withColumn("__a", F.expr(f"IF(target <= 0, 0D, aggregate(__x, named_struct('some', 0D, 'left', tokens, 'a', 1E300D), (s, x) -> {step}).a)"))
+        return told.withColumn("e", F.expr("transform(cells, x -> named_struct('at', x.at, 'tokens', x.tokens, 'e', least(double(x.tokens), __a * __w[x.at] * x.tokens)))")).drop("__w", "__x", "__a")
+
+    turn, best, since = 0, float("inf"), 0
+    while True:
+        each = solved().select("target", F.aggregate("e", F.lit(0.0), lambda s, x: s + x["e"]).alias("got"), F.explode("e").alias("x"), F.monotonically_increasing_id().alias("i"))
+        off = F.when(F.col("target") > 0, F.abs(F.col("got") - F.col("target")) / F.col("target"))
+        sums = each.groupBy("x.at").agg(F.sum("x.e").alias("e"), F.max(off).alias("off")).collect()
+        now = {r["at"]: r["e"] for r in sums}
+        error = max((r["off"] or 0.0 for r in sums), default=0.0)
+        of = {"lang": lambda at: at // n_topics, "topic": lambda at: at % n_topics}
+        for side in SIDES[1:]:
+            got = [0.0] * len(names[side])
+            for at, e in now.items():
+                got[of[side](at)] += e
+            ratio = [t / g if g > 0 and t > 0 else 1.0 for t, g in zip(wanted[side], got, strict=True)]
+            error = max([error, *(abs(g - t) / t for t, g in zip(wanted[side], got, strict=True) if t > 0)])
+            factors[side] = [f * r if t > 0 else 0.0 for f, r, t in zip(factors[side], ratio, wanted[side], strict=True)]
+            now = {at: e * ratio[of[side](at)] for at, e in now.items()}
+        top = max(max(f) for f in factors.values())
+        factors = {side: [f / top ** 0.5 for f in own] for side, own in factors.items()} if top > 1e100 else factors
+        turn, since = turn + 1, 0 if error < 0.99 * best else since + 1
+        best = min(best, error)
+        if error < tolerance or since == PATIENCE or turn == rounds:
+            break
+    done = cut(solved().select("source", F.explode("e").alias("x")).select("source", "x.at", "x.tokens", F.col("x.e").alias("expected")), "raked", sources)
+    name = lambda side, at: F.element_at(F.array(*[F.lit(x) for x in names[side]]), (at + 1).cast("int"))
+    return done.select("source", name("lang", F.floor(F.col("at") / n_topics)).alias("lang"), name("topic", F.col("at") % n_topics).alias("topic"), "tokens", "expected"), error, turn
 
 
 def draw(doc_id: Column, seed: str) -> Column:
@@ -85,25 +160,32 @@ def draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = 0.6, seed: str = "mix") -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, fitted (the cell's share of the mix), inclusion, sampled; a row for each row.
+def mix_sources(docs: DataFrame, targets: dict[str, Any] | None = None, budget: float = BUDGET, seed: str = SEED, topic: str | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, fitted (the cell's share of the mix), inclusion, sampled, residual; a row for each row.
 
-    ``targets``: shares by side; a side left out is tempered.  Null sources and
-    languages are the category ``(none)``.  Null or empty texts have no tokens; their
-    cell's probability holds for them too.  Rows without an id, and repeated rows,
-    share one draw.  Columns other than doc_id, text, source and lang aren't read; an
-    empty table gives none.
+    ``targets``: by side, as ``TARGETS``, which holds where it's None; a side left out keeps
+    its natural shares.  ``topic``: a column to take topics from.  ``residual``: the largest
+    relative error of a marginal of the expected tokens that raking leaves, the same in all
+    rows; above the tolerance only if the targets contradict each other or ask for more than
+    there is.  Null sources, languages and topics are the category ``(none)``.  Null or empty
+    texts have no tokens; a cell without any is drawn with probability 0.  Rows without an
+    id, and repeated rows, share one draw.  Texts of any length count whole.  Columns other
+    than those named aren't read; an empty table gives none.
     """
-    return drawn(docs, targets, budget, seed).drop("text_hash")
+    return drawn(docs, targets, budget, seed, topic).drop("text_hash")
 
 
-def drawn(docs: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float, seed: str) -> DataFrame:
-    targets = targets or {}
+def drawn(docs: DataFrame, targets: dict[str, Any] | None = None, budget: float = BUDGET, seed: str = SEED, topic: str | None = None) -> DataFrame:
     text = docs["text"].cast("string")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["source"].cast("string"), F.lit(NONE)).alias("source"), F.coalesce(docs["lang"].cast("string"), F.lit(NONE)).alias("lang"), F.size(statistics(text)["words"]).cast("long").alias("n_tokens"), text.alias("text"))
-    rows = cut(rows.select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens", F.xxhash64("text").alias("text_hash")), "rows")
-    cells = cut(rows.groupBy(*SIDES).agg(F.sum("n_tokens").alias("tokens")), "cells").coalesce(1)
-    for side in SIDES:
-        cells = _targets(cells, side, targets.get(side))
-    cells = cut(calibrate(rake(cut(cells, "targets").coalesce(1)), budget), "inclusion")
-    return rows.join(cells, list(SIDES)).select("doc_id", *SIDES, "n_tokens", "fitted", "inclusion", (draw(F.col("doc_id"), seed) < F.col("inclusion")).alias("sampled"), "text_hash")
+    name = lambda c: F.coalesce(docs[c].cast("string"), F.lit(NONE))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), name("source").alias("source"), name("lang").alias("lang"), F.size(statistics(text)["words"]).cast("long").alias("n_tokens"), text.alias("text"), *([name(topic).alias("topic")] if topic else []))
+    shapes = [] if topic else [f"f{i}" for i in range(len(SHAPE) + 1)]
+    rows = cut(rows.select(*[c for c in rows.columns if c != "text"], F.xxhash64("text").alias("text_hash"), *[c.alias(s) for c, s in zip(shape(F.col("text"), F.col("n_tokens")), shapes, strict=False)]), "rows")
+    if not topic:
+        rows = rows.withColumn("topic", topics(rows, shapes)).drop(*shapes)
+    cells = cut(rows.groupBy(*SIDES).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    raked, error, _ = rake(cells, TARGETS if targets is None else targets, budget)
+    whole = raked.agg(F.sum("expected").alias("e")).first()["e"] or 0.0
+    told = cut(raked.select(*SIDES, (F.col("expected") / (whole or 1.0)).alias("fitted"), F.when(F.col("tokens") > 0, F.col("expected") / F.col("tokens")).otherwise(0.0).alias("inclusion")), "inclusion")
+    discard(cells)
+    return rows.join(told, list(SIDES)).select("doc_id", *SIDES, "n_tokens", "fitted", "inclusion", (draw(F.col("doc_id"), seed) < F.col("inclusion")).alias("sampled"), F.lit(round(error, 9)).alias("residual"), "text_hash")

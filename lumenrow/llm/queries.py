@@ -32,8 +32,8 @@ def op2_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares to nine places, so that other engines' last bits don't count."""
-    return mix_sources(documents(spark, sf_dir)).withColumns({"fitted": F.round("fitted", 9), "inclusion": F.round("inclusion", 9)})
+    """Shares to six places, so that other engines' last bits don't count."""
+    return mix_sources(documents(spark, sf_dir)).withColumns({"fitted": F.round("fitted", 6), "inclusion": F.round("inclusion", 6)})
 
 
 def op4_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
