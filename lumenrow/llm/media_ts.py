@@ -1,10 +1,11 @@
 """Media columns as MPEG transport streams (ISO/IEC 13818-1), written and read per document.
 
 ``mux`` stores any bytes as the elementary stream of a one-program transport
-stream; ``demux`` parses the program tables, checks continuity counters,
-reassembles the packetised elementary stream and reports time stamps and random
-access points.  The Spark operator keeps one document in memory at a time, so a
-task needs a small multiple of its longest text.
+stream.  ``demux`` reads any transport stream: it assembles the sections of program
+tables over packets, checks continuity counters, reassembles the packetised elementary
+streams of all programs and reports time stamps and random access points.  The Spark
+operator keeps one document in memory at a time, so a task needs a small multiple of
+its longest text.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .textwords import slices
+
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, ES_PID, PROGRAM = 0x0000, 0x1000, 0x0100, 1
 PRIVATE_STREAM = 0x06  # stream_type: PES packets holding private data
@@ -93,66 +96,183 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _table(packet: bytes) -> bytes:
-    """The section a table packet holds, its checksum confirmed."""
-    at = 5 + packet[4] if not packet[3] & 0x20 else 6 + packet[4] + packet[5 + packet[4]]
-    length = ((packet[at + 1] & 0x0F) << 8 | packet[at + 2]) + 3
-    section = packet[at : at + length]
-    if crc32_mpeg(section):
-        raise ValueError("table checksum")
-    return section
+#: Stream ids whose PES packets have no optional header: program stream map and directory, padding, private 2, ECM, EMM, DSMCC, H.222.1 E.
+BARE = {0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}
+NULL_PID = 0x1FFF
+
+
+class Track:
+    """One PID: its continuity, and the bytes of the section or PES packet that is being assembled."""
+
+    def __init__(self) -> None:
+        self.last: int | None = None  # continuity counter
+        self.last_payload = b""
+        self.repeats = self.cc_errors = self.duplicates = 0
+        self.held = bytearray()
+        self.open = False
+
+    def follows(self, cc: int, payload: bytes, jump: bool) -> bool:
+        """Whether a packet with payload is new; a single repeat of the last one is legal and skipped, a gap is an error."""
+        if self.last is not None and not jump:
+            if cc == self.last and payload == self.last_payload and not self.repeats:
+                self.repeats, self.duplicates = 1, self.duplicates + 1
+                return False
+            if cc != (self.last + 1) & 15:
+                self.cc_errors += 1
+                self.lost()
+        self.last, self.last_payload, self.repeats = cc, payload, 0
+        return True
+
+    def lost(self) -> None:
+        """Called when packets are missing."""
+
+
+class Sections(Track):
+    """Sections of a table, over any number of packets."""
+
+    def lost(self) -> None:
+        self.open = False
+        self.held.clear()
+
+    def feed(self, payload: bytes, start: bool) -> list[bytes]:
+        if start:
+            pointer = payload[0]
+            found = self.whole(payload[1 : 1 + pointer]) if self.open else []
+            self.open = True
+            self.held.clear()
+            return found + self.whole(payload[1 + pointer :])
+        return self.whole(payload) if self.open else []
+
+    def whole(self, more: bytes) -> list[bytes]:
+        """The sections that ``more`` completes, checksums confirmed."""
+        self.held += more
+        out = []
+        while len(self.held) >= 3 and self.held[0] != 0xFF:
+            end = ((self.held[1] & 0x0F) << 8 | self.held[2]) + 3
+            if len(self.held) < end:
+                return out
+            section = bytes(self.held[:end])
+            if crc32_mpeg(section):
+                raise ValueError("table checksum")
+            out.append(section)
+            del self.held[:end]
+        if self.held and self.held[0] == 0xFF:  # stuffing up to the packet's end
+            self.held.clear()
+            self.open = False
+        return out
+
+
+class Elementary(Track):
+    """An elementary stream: ``payload``, and ``units`` (pts, dts, first byte in the payload, random access, damaged)."""
+
+    def __init__(self, kind: int) -> None:
+        super().__init__()
+        self.kind, self.access, self.damaged, self.done = kind, False, False, 0
+        self.parts: list[bytes] = []
+        self.units: list[tuple[int | None, int | None, int, bool, bool]] = []
+
+    def lost(self) -> None:
+        self.damaged = self.open
+
+    def feed(self, payload: bytes, start: bool, access: bool) -> None:
+        if start:
+            self.close()
+            self.open, self.access, self.damaged = True, access, False
+        if self.open:  # what comes before the first start belongs to a PES packet whose beginning isn't there
+            self.held += payload
+
+    def close(self) -> None:
+        raw = bytes(self.held)
+        self.held.clear()
+        if not self.open:
+            return
+        self.open = False
+        if raw[:3] != b"\x00\x00\x01" or len(raw) < 6:
+            raise ValueError("no PES start code")
+        length, pts, dts, head = int.from_bytes(raw[4:6], "big"), None, None, 6
+        if raw[3] not in BARE:
+            head = 9 + raw[8]
+            if raw[7] & 0x80:
+                pts = _pts_value(raw[9:14])
+            if raw[7] & 0xC0 == 0xC0:
+                dts = _pts_value(raw[14:19])
+        data = raw[head : 6 + length] if length else raw[head:]  # length 0: up to the next start
+        self.units.append((pts, dts, self.done, self.access, self.damaged or bool(length) and len(raw) < 6 + length))
+        self.parts.append(data)
+        self.done += len(data)
+
+    @property
+    def payload(self) -> bytes:
+        return b"".join(self.parts)
 
 
 def demux(stream: bytes) -> dict:
-    """``payload``, ``units`` [(pts, first byte of payload, random access)], ``packets``, ``cc_errors``, ``program``, ``stream_type``.
+    """``programs`` {number: {pmt_pid, pcr_pid, streams {pid: type}}}, ``streams`` {pid: Elementary}, ``packets``, ``cc_errors``, ``duplicates``, ``damaged`` (packets marked as such, whose content isn't used).
 
-    A table whose checksum fails and a stream that isn't made of whole packets raise ValueError.
+    A table whose checksum fails, an elementary packet without its start code, and a
+    stream that isn't made of whole packets with sync bytes raise ValueError.
     """
     if len(stream) % PACKET:
         raise ValueError("not a whole number of packets")
-    pmt_pid = es_pid = program = kind = None
-    last, errors = None, 0
-    payload, units, pes, rap = [], [], [], False
-    done = 0
-
-    def close() -> None:
-        nonlocal done
-        if pes:
-            raw = b"".join(pes)
-            if raw[:3] != b"\x00\x00\x01":
-                raise ValueError("no PES start code")
-            head = 9 + raw[8]
-            data = raw[head : 6 + int.from_bytes(raw[4:6], "big")]
-            units.append((_pts_value(raw[9:14]) if raw[7] & 0x80 else None, done, rap))
-            payload.append(data)
-            done += len(data)
-            pes.clear()
+    tables: dict[int, Sections] = {PAT_PID: Sections()}
+    programs: dict[int, dict] = {}
+    streams: dict[int, Elementary] = {}
+    damaged = 0
+
+    def read(pid: int, section: bytes) -> None:
+        if not section[5] & 1:  # applies later, not now
+            return
+        key, body = int.from_bytes(section[3:5], "big"), section[8:-4]
+        if pid == PAT_PID and section[0] == 0x00:
+            for i in range(0, len(body), 4):
+                number, at = int.from_bytes(body[i : i + 2], "big"), int.from_bytes(body[i + 2 : i + 4], "big") & 0x1FFF
+                if number:  # 0 names the network's tables
+                    programs.setdefault(number, {"pmt_pid": at, "pcr_pid": None, "streams": {}})["pmt_pid"] = at
+                    tables.setdefault(at, Sections())
+        elif section[0] == 0x02 and key in programs and programs[key]["pmt_pid"] == pid:
+            own = {}
+            i = 4 + (int.from_bytes(body[2:4], "big") & 0x0FFF)
+            while i < len(body):
+                es = int.from_bytes(body[i + 1 : i + 3], "big") & 0x1FFF
+                own[es] = body[i]
+                if es not in streams:
+                    streams[es] = Elementary(body[i])
+                i += 5 + (int.from_bytes(body[i + 3 : i + 5], "big") & 0x0FFF)
+            programs[key] |= {"pcr_pid": int.from_bytes(body[:2], "big") & 0x1FFF, "streams": own}
 
     for at in range(0, len(stream), PACKET):
         if stream[at] != SYNC:
             raise ValueError("no sync byte")
         b1, b3 = stream[at + 1], stream[at + 3]
         pid = (b1 & 0x1F) << 8 | stream[at + 2]
-        if pid == es_pid:
-            cc = b3 & 15
-            errors += last is not None and cc != (last + 1) & 15
-            last, skip, access = cc, 4, False
-            if b3 & 0x20:
-                length = stream[at + 4]
-                skip, access = 5 + length, bool(length and stream[at + 5] & 0x40)
-            if b1 & 0x40:
-                close()
-                rap = access
-            pes.append(stream[at + skip : at + PACKET])
-        elif pid == PAT_PID:
-            s = _table(stream[at : at + PACKET])
-            program, pmt_pid = int.from_bytes(s[8:10], "big"), int.from_bytes(s[10:12], "big") & 0x1FFF
-        elif pid == pmt_pid:
-            s = _table(stream[at : at + PACKET])
-            first = 12 + (int.from_bytes(s[10:12], "big") & 0x0FFF)
-            kind, es_pid = s[first], int.from_bytes(s[first + 1 : first + 3], "big") & 0x1FFF
-    close()
-    return {"payload": b"".join(payload), "units": units, "packets": len(stream) // PACKET, "cc_errors": int(errors), "program": program, "stream_type": kind}
+        if b1 & 0x80:
+            damaged += 1
+            continue
+        track = streams.get(pid) or tables.get(pid)
+        if track is None or pid == NULL_PID or not b3 & 0x30:
+            continue
+        skip, access, jump = 4, False, False
+        if b3 & 0x20:
+            length = stream[at + 4]
+            skip = 5 + length
+            if length:
+                access, jump = bool(stream[at + 5] & 0x40), bool(stream[at + 5] & 0x80)
+        if not b3 & 0x10:  # no payload: the counter stands still
+            if jump:
+                track.last = None
+            continue
+        payload = stream[at + skip : at + PACKET]
+        if not track.follows(b3 & 15, payload, jump):
+            continue
+        if isinstance(track, Elementary):
+            track.feed(payload, bool(b1 & 0x40), access)
+        else:
+            for section in track.feed(payload, bool(b1 & 0x40)):
+                read(pid, section)
+    for es in streams.values():
+        es.close()
+    every = [*streams.values(), *tables.values()]
+    return {"programs": programs, "streams": streams, "packets": len(stream) // PACKET, "cc_errors": sum(t.cc_errors for t in every), "duplicates": sum(t.duplicates for t in every), "damaged": damaged}
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, access_points array<long>"
@@ -168,24 +288,31 @@ def store_and_read(text: str | None) -> tuple:
     n, payload = padded(text)
     media = mux(payload)
     got = demux(media)
-    back, units = got["payload"], got["units"]
-    if got["cc_errors"] or back != payload:
+    ((program, told),) = got["programs"].items()
+    es = got["streams"][ES_PID]
+    back, units = es.payload, es.units
+    if got["cc_errors"] or got["damaged"] or back != payload:
         raise ValueError("the stored stream doesn't give the payload back")
-    points = [at for _, at, access in units if access]
-    feature = f"program={got['program']};type={got['stream_type']};packets={got['packets']};units={len(units)};access={len(points)};pts={units[0][0]}-{units[-1][0]};cc_errors={got['cc_errors']}"
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, [p for p, _, _ in units], points
+    points = [at for _, _, at, access, _ in units if access]
+    feature = f"program={program};type={told['streams'][ES_PID]};packets={got['packets']};units={len(units)};access={len(points)};pts={units[0][0]}-{units[-1][0]};cc_errors={got['cc_errors']}"
+    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, [u[0] for u in units], points, media
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
     """One row for each row of ``docs``: the stored stream's digest, its time stamps and random access points.
 
-    A null or empty text is 64 zero bytes; a null id stays null; repeated rows give
-    equal rows; other columns of ``docs`` are not read; an empty table gives none.
+    A null or empty text is 64 zero bytes; texts of any length are stored whole, one at a
+    time; a null id stays null; repeated rows give equal rows; other columns of ``docs``
+    are not read; an empty table gives none.  ``with_media`` adds ``media`` binary, the
+    stream itself.
     """
+    arrow = _ARROW.append(pa.field("media", pa.binary())) if with_media else _ARROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *store_and_read(t.as_py())) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)] if rows else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
+            for start, stop in slices(batch.column(1)):
+                part = batch.slice(start, stop - start)
+                rows = [(i, *store_and_read(t.as_py())[: len(arrow) - 1]) for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA + (", media binary" if with_media else ""))

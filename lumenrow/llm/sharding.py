@@ -5,54 +5,101 @@ largest first, so that the last to fill a shard are the smallest.  The smallest
 capacity at which greedy filling needs no more than the wanted number of shards
 is found by binary search, and the order is cut there.
 
-The greedy check needs only how many groups have each size: a run of equal
-sizes fills a shard by one division.  That table has at most sqrt(2 x total
-bytes) rows, as its sizes are distinct and add up to no more than the total; it
-is the one thing the driver reads.
+The greedy check needs only how many groups have each size.  That table, with the
+groups and bytes before each size, stays distributed.  The driver asks it where
+prefixes of so many bytes end, for a block of capacities at once, and gets a row for
+each question; so it holds numbers in proportion to the shards only.
+
+At the smallest capacity many cuts are possible.  Of those, each is put nearest to its
+even share of the bytes, with no shard empty while there are as many groups.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
+#: Capacities tried in one pass over the sizes.
+TRIED = 64
 #: Rows and groups are numbered inside this many parts first, so that no task numbers a whole shard.
 PARTS = 4096
 
 
-def greedy(runs: list[tuple[int, int]], capacity: int, shards: int) -> list[tuple[int, int, int]] | None:
-    """Cuts (size, groups of that size before the cut, shard that ends there); None if ``shards`` don't do.
-
-    ``runs``: (size, groups), largest size first.
-    """
-    cuts, shard, room = [], 0, capacity
-    for size, count in runs:
-        done = 0
-        while True:
-            fit = min(count - done, room // size)
-            done, room = done + fit, room - fit * size
-            if done == count:
-                break
-            if size > capacity or shard + 1 == shards:
-                return None
-            cuts.append((size, done, shard))
-            shard, room = shard + 1, capacity
-    return cuts
-
-
-def smallest_capacity(runs: list[tuple[int, int]], shards: int) -> tuple[int, list[tuple[int, int, int]]]:
-    total = sum(size * count for size, count in runs)
-    low = max(-(-total // shards), max((size for size, _ in runs), default=0))
-    high = max(total, low)
+class Runs:
+    """Groups in order, largest size first, asked by prefixes: (groups, bytes)."""
+
+    def __init__(self, groups: DataFrame) -> None:
+        """``groups``: weight, a row for each group."""
+        runs = cut(groups.groupBy("weight").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.sqrt("weight"))), "sizes")
+        sums = runs.groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("weight")).alias("bytes"))
+        ahead = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("groups_ahead"), F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("bytes_ahead"))
+        inside = Window.partitionBy("part").orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1)
+        before = lambda c, x: (F.col(f"{c}_ahead") + F.coalesce(F.sum(x).over(inside), F.lit(0))).alias(f"{c}_before")
+        self.table = cut(runs.join(sums, "part").select("weight", "n", before("groups", F.col("n")), before("bytes", F.col("n") * F.col("weight"))), "runs", runs)
+        r = self.table.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("weight")).alias("bytes"), F.max("weight").alias("top")).first()
+        self.end, self.top = (r["n"] or 0, r["bytes"] or 0), r["top"] or 0
+
+    def ask(self, unit: int, places: list[int]) -> list[Row]:
+        """The run that holds the group at each place, counted in groups (unit 0) or bytes (unit 1); places are before the end."""
+        if not places:
+            return []
+        c = ("groups", "bytes")[unit]
+        last = F.col(f"{c}_before") + F.col("n") * (F.col("weight") if unit else F.lit(1))
+        asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).cast("long").alias("x")) for i, x in enumerate(places)])
+        rows = self.table.select("*", F.explode(F.filter(asked, lambda q: (q["x"] >= F.col(f"{c}_before")) & (q["x"] < last))).alias("q"))
+        got = {r["q"]["i"]: r for r in rows.collect()}
+        return [got[i] for i in range(len(places))]
+
+    def at_bytes(self, places: list[int], way: int) -> list[tuple[int, int]]:
+        """The longest prefixes of no more bytes (way -1), the shortest of no fewer (1), or the nearest (0)."""
+        inside = [(i, x) for i, x in enumerate(places) if 0 < x < self.end[1]]
+        out = [self.end if x >= self.end[1] else (0, 0) for x in places]
+        for (i, x), r in zip(inside, self.ask(1, [x for _, x in inside]), strict=True):
+            fit, over = divmod(x - r["bytes_before"], r["weight"])
+            fit += way > 0 and over > 0 or way == 0 and 2 * over >= r["weight"]
+            out[i] = (r["groups_before"] + fit, r["bytes_before"] + fit * r["weight"])
+        return out
+
+    def at_groups(self, places: list[int]) -> list[tuple[int, int]]:
+        inside = [(i, x) for i, x in enumerate(places) if 0 < x < self.end[0]]
+        out = [self.end if x >= self.end[0] else (0, 0) for x in places]
+        for (i, x), r in zip(inside, self.ask(0, [x for _, x in inside]), strict=True):
+            out[i] = (x, r["bytes_before"] + (x - r["groups_before"]) * r["weight"])
+        return out
+
+
+def smallest_capacity(runs: Runs, shards: int) -> int:
+    """By trying ``TRIED`` capacities at once, each filled greedily; that of an even share and one group more always does."""
+    even = -(-runs.end[1] // shards)
+    low, high = max(even, runs.top), even + runs.top
     while low < high:
-        middle = (low + high) // 2
-        if greedy(runs, middle, shards) is None:
-            low = middle + 1
-        else:
-            high = middle
-    return low, greedy(runs, low, shards) or []
+        step = max(1, -(-(high - low) // TRIED))
+        tried = list(range(low, high, step))
+        ends = [0] * len(tried)
+        for _ in range(shards):
+            ends = [b for _, b in runs.at_bytes([e + c for e, c in zip(ends, tried, strict=True)], -1)]
+        done = [c for c, e in zip(tried, ends, strict=True) if e == runs.end[1]]
+        failed = [c for c, e in zip(tried, ends, strict=True) if e < runs.end[1]]
+        low, high = max(failed, default=low - 1) + 1, min(done, default=high)
+    return low
+
+
+def cuts_at(runs: Runs, capacity: int, shards: int) -> list[tuple[int, int]]:
+    """Prefixes where shards 0 to ``shards`` - 2 end."""
+    total, least = runs.end[1], [runs.end]
+    for _ in range(shards - 1):  # the shortest prefixes whose rest fits into the shards that are left
+        least.append(runs.at_bytes([least[-1][1] - capacity], 1)[0])
+    least, cuts, last = least[::-1], [], (0, 0)
+    for j in range(1, shards):
+        most, near = runs.at_bytes([last[1] + capacity], -1)[0], runs.at_bytes([total * j // shards], 0)[0]
+        low = max(least[j - 1][0], min(last[0] + 1, runs.end[0]))
+        high = max(low, min(most[0], runs.end[0] - (shards - j)))
+        last = runs.at_groups([min(max(near[0], low), high)])[0]
+        cuts.append(last)
+    return cuts
 
 
 def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,7 +108,9 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     A null text has no bytes: size 1, the checksum of nothing, and the group of the
     empty text.  Null ids are placed like others.  Repeated rows of one text share
     a shard and have slots of their own.  Of equal-sized groups the hash of the text
-    decides the order.  Other columns aren't read; an empty table gives none.
+    decides the order.  Texts of any length count whole.  Other columns aren't read; an
+    empty table gives none.  Copies of one text are joined with their shard under
+    adaptive execution, which splits a hot one.
     """
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
@@ -72,9 +121,12 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     key = ["hash", "text_crc32", "size"]
     groups = rows.groupBy(*key).agg(F.count("*").alias("copies")).withColumn("weight", F.col("size") * F.col("copies"))
     groups = cut(groups, "groups")
-    runs = [(r.weight, r.n) for r in groups.groupBy("weight").agg(F.count("*").alias("n")).collect()]
-    runs.sort(reverse=True)
-    _, cuts = smallest_capacity(runs, shards)
+    runs = Runs(groups)
+    ends = cuts_at(runs, smallest_capacity(runs, shards), shards)
+    inside = [(shard, at) for shard, (at, _) in enumerate(ends) if at < runs.end[0]]
+    # (size, groups of that size before the cut, shard that ends there)
+    cuts = [(r["weight"], at - r["groups_before"], shard) for (shard, at), r in zip(inside, runs.ask(0, [at for _, at in inside]), strict=True)]
+    discard(runs.table)
 
     # A size without a cut lies in one shard; among groups of a size with cuts, the place counts.
     ends = spark.createDataFrame(cuts or [(0, 0, 0)], "weight long, before long, shard int").filter("weight > 0")

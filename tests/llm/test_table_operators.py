@@ -456,14 +456,53 @@ def brute_capacity(sizes, shards):
     return best[-1]
 
 
-def test_capacity_by_brute_force():
+class Listed(sharding.Runs):
+    """The same questions answered from a list."""
+
+    def __init__(self, sizes):
+        self.rows, at = [], (0, 0)
+        for weight, n in sorted(Counter(sizes).items(), reverse=True):
+            self.rows.append({"weight": weight, "n": n, "groups_before": at[0], "bytes_before": at[1]})
+            at = at[0] + n, at[1] + n * weight
+        self.end, self.top = at, max(sizes, default=0)
+
+    def ask(self, unit, places):
+        first = lambda r: r[("groups_before", "bytes_before")[unit]]
+        return [next(r for r in self.rows if first(r) <= x < first(r) + r["n"] * (r["weight"] if unit else 1)) for x in places]
+
+
+def test_capacity_by_brute_force(monkeypatch):
     rng = random.Random(6)
-    for _ in range(150):
-        sizes = sorted((rng.choice([1, 2, 3, 5, 8, 13, 40]) for _ in range(rng.randrange(1, 30))), reverse=True)
+    for turn in range(300):
+        monkeypatch.setattr(sharding, "TRIED", rng.choice([2, 3, 64]))
+        sizes = sorted((rng.choice([1, 2, 3, 5, 8, 13, 40, rng.randrange(1, 500)]) for _ in range(rng.randrange(1, 30))), reverse=True)
+        if turn % 10 == 0:
+            sizes = [rng.randrange(1, 9)] * rng.randrange(1, 30)
         shards = rng.randrange(1, 9)
-        runs = sorted(Counter(sizes).items(), reverse=True)
-        capacity, _ = sharding.smallest_capacity(runs, shards)
+        runs = Listed(sizes)
+        capacity = sharding.smallest_capacity(runs, shards)
         assert capacity == brute_capacity(sizes, shards)
+        ends = [0, *[g for g, _ in sharding.cuts_at(runs, capacity, shards)], len(sizes)]
+        parts = [sizes[a:b] for a, b in itertools.pairwise(ends)]
+        assert len(parts) == shards and ends == sorted(ends)
+        assert max(map(sum, parts)) == capacity
+        filled = sum(map(bool, parts))
+        if len(set(sizes)) == 1:  # alike: no shard is empty while there's a group for it
+            assert filled == min(shards, len(sizes))
+    nine = Listed([7] * 9)
+    assert sorted(b - a for a, b in itertools.pairwise([0, *[g for g, _ in sharding.cuts_at(nine, 14, 8)], 9])) == [1, 1, 1, 1, 1, 1, 1, 2]
+
+
+def test_runs_answer_as_the_list(spark):
+    rng = random.Random(2)
+    sizes = [rng.choice([1, 1, 2, 3, 7, 50, 51, 52, 4000, 10**9]) for _ in range(200)]
+    runs, want = sharding.Runs(spark.createDataFrame([(x,) for x in sizes], "weight long")), Listed(sizes)
+    assert (runs.end, runs.top) == (want.end, want.top)
+    for way in (-1, 0, 1):
+        places = [rng.randrange(want.end[1] + 2) for _ in range(30)] + [0, 1, want.end[1] - 1, want.end[1], 75]
+        assert runs.at_bytes(places, way) == want.at_bytes(places, way)
+    assert runs.at_groups(list(range(0, 201, 9))) == want.at_groups(list(range(0, 201, 9)))
+    assert sharding.smallest_capacity(runs, 5) == brute_capacity(sorted(sizes, reverse=True), 5)
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])

@@ -67,34 +67,105 @@ def test_transport_stream_round_trip(n):
     payload = bytes(random.Random(n).randrange(256) for _ in range(n))
     stream = media_ts.mux(payload)
     got = media_ts.demux(stream)
+    es = got["streams"][media_ts.ES_PID]
     assert len(stream) % 188 == 0 and all(stream[i] == 0x47 for i in range(0, len(stream), 188))
-    assert (got["payload"], got["cc_errors"], got["program"]) == (payload, 0, 1)
+    assert (es.payload, got["cc_errors"], got["duplicates"]) == (payload, 0, 0)
+    assert got["programs"] == {1: {"pmt_pid": media_ts.PMT_PID, "pcr_pid": media_ts.ES_PID, "streams": {media_ts.ES_PID: media_ts.PRIVATE_STREAM}}}
     units = max(1, -(-n // media_ts.PES_PAYLOAD))
-    assert [u[0] for u in got["units"]] == [media_ts.TICKS * i for i in range(units)]
-    assert [u[2] for u in got["units"]] == [i % media_ts.RAP_EVERY == 0 for i in range(units)]
+    assert [u[0] for u in es.units] == [media_ts.TICKS * i for i in range(units)]
+    assert [u[3] for u in es.units] == [i % media_ts.RAP_EVERY == 0 for i in range(units)]
 
 
 def test_transport_stream_faults():
     stream = media_ts.mux(b"x" * 2000)
-    assert media_ts.demux(stream[: 188 * 5] + stream[188 * 6 :])["cc_errors"] == 1
+    gap = media_ts.demux(stream[: 188 * 5] + stream[188 * 6 :])
+    assert gap["cc_errors"] == 1 and gap["streams"][media_ts.ES_PID].units[0][4]
     broken = bytearray(stream)
     broken[15] ^= 1
     with pytest.raises(ValueError, match="checksum"):
         media_ts.demux(bytes(broken))
     with pytest.raises(ValueError, match="whole"):
         media_ts.demux(stream[:-1])
+    with pytest.raises(ValueError, match="sync"):
+        media_ts.demux(stream[:188] + b"x" + stream[189:])
     assert media_ts.crc32_mpeg(b"123456789") == 0x0376E6E7
 
 
+def packet(pid, cc, payload, start=False, adaptation=None, flags=0):
+    """A hand-made packet: ``adaptation`` (bytes after its length) is stuffed so that the payload ends the packet; null: stuffing only if it's needed."""
+    room = 184 - len(payload)
+    head = bytes([0x47, flags | 0x40 * start | pid >> 8, pid & 255])
+    if adaptation is None and not room:
+        return head + bytes([0x10 | cc]) + payload
+    field = (adaptation or b"\x00")[: room - 1] if room > 1 else b""
+    field += b"\xff" * (room - 1 - len(field))
+    return head + bytes([(0x30 if payload else 0x20) | cc, len(field)]) + field + payload
+
+
+def section(table, key, body, now=1, number=0, last=0):
+    head = bytes([table]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + key.to_bytes(2, "big") + bytes([0xC0 | now, number, last])
+    return head + body + media_ts.crc32_mpeg(head + body).to_bytes(4, "big")
+
+
+def table_packets(pid, sections, cc=0):
+    data = b"\x00" + b"".join(sections)
+    data += b"\xff" * (-len(data) % 184)
+    return [packet(pid, cc + i & 15, data[at : at + 184], i == 0) for i, at in enumerate(range(0, len(data), 184))]
+
+
+def stamp(value, mark):
+    return bytes([mark << 4 | (value >> 30) << 1 | 1, value >> 22 & 255, (value >> 15 & 127) << 1 | 1, value >> 7 & 255, (value & 127) << 1 | 1])
+
+
+def test_transport_stream_made_by_hand():
+    """Two programs, three streams, tables over several packets, repeats, adaptation only, a jump, a damaged packet, open length, DTS, bare PES."""
+    filler = b"".join(i.to_bytes(2, "big") + (0xE000 | 0x600 + i).to_bytes(2, "big") for i in range(10, 60))  # programs that have no table here
+    pat = [section(0, 1, b"\x00\x00\xe0\x10" + b"\x00\x01\xe0\x20" + filler, number=0, last=1), section(0, 1, b"\x00\x02\xe0\x21", number=1, last=1)]
+    described = b"\xe1\x00\xf0\x03\x05\x01x"  # PCR on 0x100, a descriptor of the program
+    pmt1 = section(2, 1, described + b"\x1b\xe1\x00\xf0\x02\x0a\x00" + b"\x0f\xe1\x01\xf0\x00")
+    later = section(2, 1, b"\xe1\x05\xf0\x00\x02\xe1\x05\xf0\x00", now=0)
+    pmt2 = section(2, 2, b"\xff\xff\xf0\x00" + b"\x06\xe2\x00\xf0\x00")
+    video = [b"V" * 500, b"W" * 300]
+    open_pes = [b"\x00\x00\x01\xe0\x00\x00\x80\xc0\x0a" + stamp(90_000 + 3600 * i, 3) + stamp(90_000 + 1800 * i, 1) + v for i, v in enumerate(video)]
+    audio = b"A" * 100
+    sound = b"\x00\x00\x01\xc0" + (8 + len(audio)).to_bytes(2, "big") + b"\x80\x80\x05" + stamp(2**32 + 5, 2) + audio
+    bare = b"\x00\x00\x01\xbf" + len(b"private two").to_bytes(2, "big") + b"private two"
+
+    def pes(pid, data, cc, **first):
+        parts = [data[at : at + 176] for at in range(0, len(data), 176)]
+        return [packet(pid, cc + i & 15, x, i == 0, **(first if i == 0 else {})) for i, x in enumerate(parts)]
+
+    one, two = pes(0x100, open_pes[0], 14, adaptation=b"\x40"), pes(0x100, open_pes[1], 7, adaptation=b"\x80")
+    packets = [
+        *table_packets(0, pat), *table_packets(0x20, [later, pmt1]), packet(0x1FFF, 3, b"\x00" * 184), one[0],
+        *table_packets(0x21, [pmt2]), one[0], packet(0x100, 14, b"", adaptation=b"\x00"), one[1],  # a legal repeat, then no payload at the same count
+        *pes(0x101, sound, 5), packet(0x100, 9, b"bad" * 50, flags=0x80), *one[2:],
+        *two, *pes(0x200, bare, 0), packet(0x777, 1, b"nobody's" * 23),
+    ]
+    got = media_ts.demux(b"".join(packets))
+    assert got["programs"][1] == {"pmt_pid": 0x20, "pcr_pid": 0x100, "streams": {0x100: 0x1B, 0x101: 0x0F}}
+    assert got["programs"][2] == {"pmt_pid": 0x21, "pcr_pid": 0x1FFF, "streams": {0x200: 6}}
+    assert len(got["programs"]) == 52 and set(got["streams"]) == {0x100, 0x101, 0x200}
+    assert (got["packets"], got["cc_errors"], got["duplicates"], got["damaged"]) == (len(packets), 0, 1, 1)
+    v, a, p = (got["streams"][x] for x in (0x100, 0x101, 0x200))
+    assert v.payload == b"".join(video) and v.units == [(90_000, 90_000, 0, True, False), (93_600, 91_800, 500, False, False)]
+    assert a.payload == audio and a.units == [(2**32 + 5, None, 0, False, False)]
+    assert p.payload == b"private two" and p.units == [(None, None, 0, False, False)]
+    thrice = media_ts.demux(b"".join([*packets[: packets.index(one[0]) + 1], *packets[packets.index(one[0]) :][:1] * 2, *packets[packets.index(one[0]) + 1 :]]))
+    assert thrice["cc_errors"] >= 1  # a packet may be sent twice, not more
+
+
 def test_media_query(spark):
-    rows = media_ts.media_columns(odd_documents(spark)).collect()
+    rows = media_ts.media_columns(odd_documents(spark), with_media=True).collect()
     for (i, text), r in zip(ODD, rows, strict=True):
         data = (text or "").encode()
         payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         assert (r.doc_id, r.n_bytes, r.payload_bytes) == (i, len(data), len(payload))
         assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.media_bytes % 188 == 0
+        assert r.media_bytes % 188 == 0 and hashlib.sha256(bytes(r.media)).hexdigest() == r.media_sha256
+        assert media_ts.demux(bytes(r.media))["streams"][media_ts.ES_PID].payload == payload
     assert len({(r.media_sha256, r.feature) for r in rows if r.doc_id == 4}) == 1
+    assert media_ts.media_columns(odd_documents(spark).limit(0)).count() == 0
 
 
 def brute_base(text):
