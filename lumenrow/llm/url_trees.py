@@ -20,7 +20,11 @@ from .common import cut
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 # Words in a host that label a URL as unwanted when no labels are given.
 SEEDS = ("pills", "casino", "spam", "viagra", "porn", "lottery", "payday", "replica")
-BINS, ROUNDS, RATE, SMOOTH, SAMPLE = 12, 12, 0.4, 1.0, 20_000
+BINS, ROUNDS, RATE, SMOOTH = 12, 12, 0.4, 1.0
+#: Trees are fitted on so many URLs of each label at most.
+SAMPLE = 20_000
+#: One of so many hosts is held out by ``held_out``.
+FOLDS = 5
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -136,10 +140,10 @@ def _best(sums: dict[tuple[str, int], tuple[float, float]], names: list[str]) ->
     return at
 
 
-def train(urls: DataFrame, rounds: int = ROUNDS) -> UrlTrees:
+def train(urls: DataFrame, rounds: int = ROUNDS, sample: int = SAMPLE) -> UrlTrees:
     """``urls``: url, label (0 or 1).
 
-    Trees are fitted on at most ``SAMPLE`` URLs of each label, chosen by hash.  Labels
+    Trees are fitted on at most ``sample`` URLs of each label, chosen by hash.  Labels
     and suffixes are counted over all rows, and the chosen URLs of a label weigh as
     much as all rows of it, so the base rate is that of the rows at any size.
     """
@@ -152,7 +156,7 @@ def train(urls: DataFrame, rounds: int = ROUNDS) -> UrlTrees:
     pos, n = rows["pos"] or 0, rows["all"] or 0
     picked = None
     for label in (0, 1):
-        some = urls.filter(F.col("label") == label).groupBy("url", "label").agg(F.count("*").alias("n")).orderBy(F.xxhash64("url"), "url").limit(SAMPLE)
+        some = urls.filter(F.col("label") == label).groupBy("url", "label").agg(F.count("*").alias("n")).orderBy(F.xxhash64("url"), "url").limit(sample)
         picked = some if picked is None else picked.union(some)
     picked = cut(picked.coalesce(1), "urls").coalesce(1)
     share = F.when(F.col("label") == 1, F.lit(float(pos))).otherwise(F.lit(float(n - pos))) / F.sum("n").over(Window.partitionBy("label"))
@@ -190,21 +194,37 @@ def train(urls: DataFrame, rounds: int = ROUNDS) -> UrlTrees:
     return model
 
 
-def judge(pages: DataFrame, labels: DataFrame | None = None, rules: dict[str, str] | None = None, threshold: float = 0.5) -> DataFrame:
+def seeded(urls: DataFrame, words: tuple[str, ...] = SEEDS) -> DataFrame:
+    """url, label: 1 for URLs whose host holds one of ``words``."""
+    host, _ = host_path(F.col("url"))
+    return urls.select("url", F.when(host.rlike("|".join(words)), 1).otherwise(0).alias("label"))
+
+
+def held_out(labels: DataFrame, rounds: int = ROUNDS, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """label, blocked, n: how URLs of held-out hosts are judged by trees trained on the other hosts' ``labels`` (url, label)."""
+    host, path = host_path(F.col("url"))
+    told = labels.select("url", "label").withColumns({"host": host, "path": path})
+    out = F.crc32(F.col("host").cast("binary")) % FOLDS == 0
+    model = train(told.filter(~out), rounds, sample)
+    blocked = (F.col("probability") > threshold).alias("blocked")
+    return model.judged(told.filter(out)).groupBy("label", blocked).agg(F.count("*").alias("n"))
+
+
+def judge(pages: DataFrame, labels: DataFrame | None = None, rules: dict[str, str] | None = None, threshold: float = 0.5, rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict, probability: a row for each row of ``pages`` (page_id, url).
 
-    ``labels``: url, label 1 for unwanted; without it, URLs whose host holds one of
-    ``SEEDS`` are the unwanted ones.  The trees see neither the words nor the rules.
-    A null url, or one without ``://``, has an empty host and path, no rule, and
-    the trees' verdict on an empty text.  Null ids stay null; repeated rows give
-    equal rows; other columns aren't read; an empty table gives none.
+    ``labels``: url, label (1 for unwanted), the URLs to learn from; without it, those of
+    ``pages`` are labelled by ``seeded``.  The trees see neither the words nor the rules,
+    only lexical features, and so judge hosts that no word names.  ``sample``: the bound
+    on URLs of each label that trees are fitted on.  A null url, or one without ``://``,
+    has an empty host and path, no rule, and the trees' verdict on an empty text.  URLs
+    of any length are read whole.  Null ids stay null; repeated rows give equal rows;
+    other columns aren't read; an empty table gives none.
     """
     rules = RULES if rules is None else rules
     plain = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"))
     host, path = host_path(F.col("url"))
-    if labels is None:
-        labels = plain.select("url", F.when(host.rlike("|".join(SEEDS)), 1).otherwise(0).alias("label"))
-    model = train(labels)
+    model = train(seeded(plain) if labels is None else labels, rounds, sample)
     rule = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.lit(None).cast("string")
     for r, v in rules.items():

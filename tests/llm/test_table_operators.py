@@ -646,13 +646,119 @@ def test_trees_generalise(spark):
     assert sum((r.probability > 0.5) == (r.label == 1) for r in held) / len(held) > 0.95
 
 
-def test_base_rate_is_that_of_all_rows(spark, monkeypatch):
+def lexical(url, odds):
+    """A URL's features, in the operator's order."""
+    host, path = brute_host_path(url)
+    marks = [c for c in host if c in "abcdefghijklmnopqrstuvwxyz0123456789-."]
+    counts, n = Counter(marks), len(marks)
+    query = url.split("?", 1)[1].split("#")[0] if "?" in url else ""
+    return [
+        len(url), len(host), path.count("/"), host.count("."), sum("0" <= c <= "9" for c in url) / len(url) if url else 0.0, host.count("-"), query.count("&") + ("?" in url), "#" in url, url.startswith("https://"),
+        math.log2(n) - sum(k * math.log2(k) for k in counts.values()) / n if n else 0.0, odds.get(host.split(".")[-1], 0.0),
+    ]
+
+
+def brute_probabilities(labelled, urls):
+    """Boosted trees of depth two over quantile bins, by plain loops."""
+    suffix = lambda u: brute_host_path(u)[0].split(".")[-1]
+    seen = defaultdict(lambda: [0, 0])
+    for u, y in labelled:
+        seen[suffix(u)][0] += y
+        seen[suffix(u)][1] += 1
+    odds = {k: round(math.log((p + 1) / (n - p + 1)), 6) for k, (p, n) in seen.items()}
+    weights = Counter(labelled)  # each distinct URL once, with its rows
+    rows = [(lexical(u, odds), y, w) for (u, y), w in weights.items()]
+    edges = [sorted({float(sorted(r[0][f] for r in rows)[max(0, math.ceil(i / url_trees.BINS * len(rows)) - 1)]) for i in range(1, url_trees.BINS)}) for f in range(11)]
+    bins = lambda x: [sum(v > e for e in own) for v, own in zip(x, edges, strict=True)]
+    data = [(bins(x), y, w) for x, y, w in rows]
+    pos, n = sum(y * w for _, y, w in data), sum(w for _, _, w in data)
+    base, trees = math.log(pos / (n - pos)), []
+
+    def margin(b):
+        out = base
+        for (f, c), splits, leaves in trees:
+            side = int(b[f] > c)
+            g, d = splits[side]
+            out += leaves[2 * side + int(b[g] > d)]
+        return out
+
+    gain = lambda g, h: g * g / (h + url_trees.SMOOTH)
+
+    def best(some):
+        top, at = -1.0, (0, url_trees.BINS)
+        for f in range(11):
+            cells = defaultdict(lambda: [0.0, 0.0])
+            for b, g, h in some:
+                cells[b[f]][0] += g
+                cells[b[f]][1] += h
+            whole = [sum(v[k] for v in cells.values()) for k in (0, 1)]
+            left = [0.0, 0.0]
+            for c in sorted(cells)[:-1]:
+                left = [left[k] + cells[c][k] for k in (0, 1)]
+                now = gain(*left) + gain(whole[0] - left[0], whole[1] - left[1]) - gain(*whole)
+                if now > top + 1e-9:
+                    top, at = now, (f, c)
+        return at
+
+    for _ in range(url_trees.ROUNDS):
+        told = []
+        for b, y, w in data:
+            p = 1 / (1 + math.exp(-margin(b)))
+            told.append((b, w * (y - p), w * p * (1 - p)))
+        f, c = best(told)
+        halves = [[t for t in told if (t[0][f] > c) == side] for side in (False, True)]
+        splits = [best(half) for half in halves]
+        leaves = []
+        for half, (g, d) in zip(halves, splits, strict=True):
+            for side in (False, True):
+                inside = [t for t in half if (t[0][g] > d) == side]
+                leaves.append(url_trees.RATE * sum(t[1] for t in inside) / (sum(t[2] for t in inside) + url_trees.SMOOTH))
+        trees.append(((f, c), splits, leaves))
+    return [1 / (1 + math.exp(-margin(bins(lexical(u, odds))))) for u in urls]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_verdicts_by_brute_force(spark, seed):
+    """The whole operator, rules and trees, on URLs with repeats and odd ones, against loops over dictionaries."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9)))
+    urls = []
+    for i in range(260):
+        bad = i % 6 == 0
+        host = f"{word()}-{rng.choice(url_trees.SEEDS)}{rng.randrange(99)}.{rng.choice(['biz', 'com'])}" if bad else f"www.{word()}.{rng.choice(['org', 'com', 'net'])}"
+        urls.append(f"http{'s' * (i % 2)}://{host}/{rng.choice(['de', 'fr', 'en'])}/{word()}" + rng.choice(["", "?a=1&b=2", "#top", "/x/y/z9"]))
+    urls += urls[:40] + ["nothing", "", "://", "http://plain.org"]
+    pages = spark.createDataFrame([*enumerate(urls), (9999, None)], "page_id long, url string")
+    got = {r.page_id: r for r in url_trees.judge(pages).collect()}
+    labelled = [(u, int(any(w in brute_host_path(u)[0] for w in url_trees.SEEDS))) for u in urls]
+    want = brute_probabilities(labelled, [*urls, ""])
+    verdicts = Counter()
+    for i, (u, p) in enumerate(zip([*urls, None], want, strict=True)):
+        r = got[i if u is not None else 9999]
+        rule = brute_rule(*brute_host_path(u))
+        assert r.probability == pytest.approx(p, rel=1e-6)
+        assert (r.rule, r.verdict) == (rule, url_trees.RULES[rule] if rule else "block" if p > 0.5 else "allow")
+        verdicts[rule is None, r.verdict] += 1
+    assert verdicts[True, "block"] > 5 and verdicts[True, "allow"] > 5
+
+
+def test_held_out_hosts(spark):
+    """Hosts that the trees haven't seen, on the driver's pages and on labels from a table."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {(r.label, r.blocked): r.n for r in url_trees.held_out(url_trees.seeded(pages)).collect()}
+    assert sum(got.values()) > 100 and got.get((0, True), 0) <= 0.1 * (got.get((0, True), 0) + got[0, False])
+    rng = random.Random(4)
+    rows = [(f"https://{'a-b-c' if i % 4 == 0 else 'abc'}{rng.randrange(10**6)}.{rng.choice(['org', 'com'])}/{i}", int(i % 4 == 0)) for i in range(1200)]
+    got = {(r.label, r.blocked): r.n for r in url_trees.held_out(spark.createDataFrame(rows, "url string, label int")).collect()}
+    assert got[1, True] > 0.9 * (got[1, True] + got.get((1, False), 0)) and got[0, False] > 0.9 * (got[0, False] + got.get((0, True), 0))
+
+
+def test_base_rate_is_that_of_all_rows(spark):
     """A label cut to the sample weighs as much as all its rows, and rows of one URL count each."""
-    monkeypatch.setattr(url_trees, "SAMPLE", 40)
     names = ["".join(p) for p in itertools.islice(itertools.permutations("0123456"), 1000)]  # alike in all features
     rows = [(f"http://{name}.site.org/", int(i % 20 == 0)) for i, name in enumerate(names)] + [(f"http://{names[1]}.site.org/", 0)] * 1000
     urls = spark.createDataFrame(rows, "url string, label int")
-    model = url_trees.train(urls)
+    model = url_trees.train(urls, sample=40)
     assert model.base == pytest.approx(math.log(50 / 1950))
     host, path = url_trees.host_path(F.col("url"))
     mean = model.judged(urls.withColumns({"host": host, "path": path})).agg(F.avg("probability")).first()[0]
