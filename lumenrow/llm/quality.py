@@ -54,14 +54,24 @@ SALTS = 64
 _WORD_SPACE = "\t\n\x0b\x0c\r"
 
 
+def put(text: Column, letters: str, by: str = "") -> Column:
+    """``text`` with ``by`` in place of each of ``letters``: a byte search for each, far faster than ``translate``."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(by)), letters, text)
+
+
+def among(text: Column, letters: str) -> Column:
+    """How many characters of ``text`` are among ``letters``, which are of one byte each."""
+    return F.octet_length(text) - F.octet_length(put(text, letters))
+
+
 def statistics(text: Column) -> dict[str, Column]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
     return {
-        "words": F.array_remove(F.split(F.translate(text, _WORD_SPACE, "     "), " "), ""),
-        "word_chars": F.length(F.translate(text, _WORD_SPACE + " ", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-        "lines": F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _WORD_SPACE + " ", "")) > 0),
+        "words": F.array_remove(F.split(put(text, _WORD_SPACE, " "), " "), ""),
+        "word_chars": (F.length(text) - among(text, _WORD_SPACE + " ")).cast("long"),
+        "n_symbols": among(text, "#*$%&|<>").cast("long"),
+        "lines": F.filter(F.split(text, "\n"), lambda x: F.octet_length(put(x, _WORD_SPACE + " ")) > 0),
     }
 
 
