@@ -7,7 +7,8 @@ fixed number made from the document's id, so it doesn't depend on partitions or
 
 Sources may be many, hosts say: each is one row that holds its cells, and its factor is
 solved inside the row.  Languages and topics are few: their factors are the driver's, and
-a round is one aggregation to languages x topics sums.  Rounds go on until the largest
+a round is one aggregation to languages x topics sums, of all expected tokens and of those
+in cells that aren't taken whole, which a factor can still raise.  Rounds go on until the largest
 relative error of a marginal is below the tolerance; the error that is left is reported.
 
 Topics are those of a column, or the nearest of a few centres of the texts' shape, found
@@ -22,26 +23,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard
-from .quality import statistics
+from .quality import among, statistics
 
 SIDES = ("source", "lang", "topic")
 NONE = "(none)"
 #: Shares by side: weights of named categories, or the power of the natural shares (0: equal shares).
 #: Categories that aren't named keep their natural share; the named ones that are there share the rest by weight.
 TARGETS: dict[str, dict[str, float] | float] = {"source": 0.0, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.9}
-BUDGET, SEED, TOLERANCE = 0.5, "mix", 1e-12
+BUDGET, SEED, TOLERANCE = 0.4, "mix", 1e-9
 #: Raking stops after so many rounds without a better error, or so many in all: targets that can't be met keep an error.
 PATIENCE, ROUNDS = 15, 1000
 TOPICS, STEPS = 4, 8
 #: Characters that a text's shape is told by, each a rate in a thousand; beside them words in a thousand characters.
-SHAPE = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?", "#*$%&|<>{}[]=", "\n")
+SHAPE = ("0123456789", ".,;:", "!?", "#*$%&|<>{}[]=", "\n")
 
 
 def shape(text: Column, tokens: Column) -> list[Column]:
     """Whole numbers from 0 to 1000."""
     text = F.coalesce(text, F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
-    counts = [F.length(text) - F.length(F.translate(text, letters, "")) for letters in SHAPE]
+    counts = [among(text, letters) for letters in SHAPE]
     return [F.floor(1000 * c / size).cast("long") for c in [*counts, tokens]]
 
 
@@ -129,20 +130,23 @@ def rake(cells: DataFrame, targets: dict[str, Any], budget: float, tolerance: fl
 
     turn, best, since = 0, float("inf"), 0
     while True:
-        each = solved().select("target", F.aggregate("e", F.lit(0.0), lambda s, x: s + x["e"]).alias("got"), F.explode("e").alias("x"), F.monotonically_increasing_id().alias("i"))
+        each = solved().select("target", F.aggregate("e", F.lit(0.0), lambda s, x: s + x["e"]).alias("got"), F.explode("e").alias("x"))
         off = F.when(F.col("target") > 0, F.abs(F.col("got") - F.col("target")) / F.col("target"))
-        sums = each.groupBy("x.at").agg(F.sum("x.e").alias("e"), F.max(off).alias("off")).collect()
-        now = {r["at"]: r["e"] for r in sums}
-        error = max((r["off"] or 0.0 for r in sums), default=0.0)
+        part = F.when(F.col("x.e") < F.col("x.tokens"), F.col("x.e")).otherwise(0.0)  # what a factor can still raise
+        sums = {r["at"]: r for r in each.groupBy("x.at").agg(F.sum("x.e").alias("e"), F.sum(part).alias("free"), F.max(off).alias("off")).collect()}
+        now, free = ({at: r[c] for at, r in sums.items()} for c in ("e", "free"))
+        error = max((r["off"] or 0.0 for r in sums.values()), default=0.0)
         of = {"lang": lambda at: at // n_topics, "topic": lambda at: at % n_topics}
         for side in SIDES[1:]:
-            got = [0.0] * len(names[side])
-            for at, e in now.items():
-                got[of[side](at)] += e
-            ratio = [t / g if g > 0 and t > 0 else 1.0 for t, g in zip(wanted[side], got, strict=True)]
-            error = max([error, *(abs(g - t) / t for t, g in zip(wanted[side], got, strict=True) if t > 0)])
+            got, able, told = ([0.0] * len(names[side]) for _ in range(3))
+            for at, r in sums.items():
+                i = of[side](at)
+                told[i], got[i], able[i] = told[i] + r["e"], got[i] + now[at], able[i] + free[at]
+            error = max([error, *(abs(g - t) / t for t, g in zip(wanted[side], told, strict=True) if t > 0)])
+            ratio = [min(100.0, max(0.01, (t - g + a) / a)) if a > 0 and t > 0 else 1.0 for t, g, a in zip(wanted[side], got, able, strict=True)]
             factors[side] = [f * r if t > 0 else 0.0 for f, r, t in zip(factors[side], ratio, wanted[side], strict=True)]
-            now = {at: e * ratio[of[side](at)] for at, e in now.items()}
+            now = {at: e + free[at] * (ratio[of[side](at)] - 1) for at, e in now.items()}
+            free = {at: e * ratio[of[side](at)] for at, e in free.items()}
         top = max(max(f) for f in factors.values())
         factors = {side: [f / top ** 0.5 for f in own] for side, own in factors.items()} if top > 1e100 else factors
         turn, since = turn + 1, 0 if error < 0.99 * best else since + 1

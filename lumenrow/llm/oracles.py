@@ -69,10 +69,10 @@ def mixture(rounds: int = 400) -> str:
     parts.append(f"e AS MATERIALIZED (SELECT {key}, x, {goals}, least(x, u) AS e FROM r WHERE n = {rounds})")
     errors = [f"max(abs(got_{side} - goal_{side}) / nullif(goal_{side}, 0))" for side in mixing.SIDES]
     got = ", ".join(f"sum(e) OVER (PARTITION BY {side}) AS got_{side}" for side in mixing.SIDES)
-    parts.append(f"z AS (SELECT round(greatest({', '.join(errors)}), 9) AS residual FROM (SELECT *, {got} FROM e))")
+    parts.append(f"z AS (SELECT round(greatest({', '.join(errors)}), 6) AS residual FROM (SELECT *, {got} FROM e))")
     parts.append(f"y AS (SELECT {key}, e / (SELECT sum(e) FROM e) AS fitted, CASE WHEN x > 0 THEN e / x ELSE 0 END AS inclusion FROM e)")
     draw = f"CAST(CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / {16**13}.0::DOUBLE"
-    return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT doc_id, {key}, n_tokens, round(fitted, 6) AS fitted, round(inclusion, 6) AS inclusion, {draw} < inclusion AS sampled, (SELECT residual FROM z) AS residual FROM t JOIN y USING ({key})"
+    return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT doc_id, {key}, n_tokens, round(fitted, 6) AS fitted, round(inclusion, 4) AS inclusion, {draw} < inclusion AS sampled, (SELECT residual FROM z) AS residual FROM t JOIN y USING ({key})"
 
 
 def _quoted(text: str) -> str:
