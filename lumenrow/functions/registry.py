@@ -175,7 +175,7 @@ def aggregate(name: str, args: list[Value], star: bool, distinct: bool, order: l
         if v.kind == "dyn" and name == "sum":
             whole = f"bool_and(NOT {v.sql}.f)" if re_simple(v.sql) else f"bool_and(NOT ({V.number_of(v).sql}).f)"
             n = V.number_of(v).sql
-            return Value(f"IF({whole}{filtered}, {V.dyn_int(f'try_sum(({n}).i){filtered}')}, {V.dyn_real(f'sum(({n}).r){filtered}')})", "dyn")
+            return Value(f"IF({whole}{filtered}, {V.dyn_int(_in_range(f'sum(CAST(({n}).i AS DECIMAL(20,0))){filtered}'))}, {V.dyn_real(f'sum(({n}).r){filtered}')})", "dyn")
         if exact and v.kind == "real" and not distinct:
             total = f"IF(count({v.sql}){filtered} = 0, NULL, {neumaier(f'collect_list({v.sql}){filtered}')})"
             return Value({"sum": total, "total": f"coalesce({total}, 0D)", "avg": f"{total} / nullif(count({v.sql}){filtered}, 0)"}[name], "real")
@@ -196,14 +196,23 @@ def re_simple(sql: str) -> bool:
     return all(c.isalnum() or c in "_.`" for c in sql)
 
 
+def _in_range(total: str) -> str:
+    """A decimal total as a 64-bit integer; beyond its range an error, as the dialect has it."""
+    return V.let([f"({total})"], lambda t: f"IF({t} BETWEEN -9223372036854775808 AND 9223372036854775807, CAST({t} AS BIGINT), IF({t} IS NULL, NULL, CAST(raise_error('integer overflow') AS BIGINT)))")
+
+
 def _over_distinct(name: str, v: Value, args: list[Value], order: list[tuple[str, str]], filtered: str) -> Value:
-    """DISTINCT by a key that isn't the value itself: representatives by key, then the aggregate over them."""
-    keys = f"collect_set({V.key(v)}){filtered}"
+    """DISTINCT by a key that isn't the value itself."""
     if name == "count":
-        return Value(f"CAST(size({keys}) AS BIGINT)", "int")
+        return Value(f"count(DISTINCT {V.key(v)}){filtered}", "int")
     if v.kind == "dyn" and name in ("sum", "total", "avg"):
-        total = f"aggregate({keys}, 0D, (a, x) -> a + coalesce(x.r, 0D))"
-        return Value({"total": total, "sum": f"IF(size({keys}) = 0, NULL, {total})", "avg": f"{total} / nullif(size({keys}), 0)"}[name], "real")
+        keys = f"collect_set({V.key(v)}){filtered}"
+        total = f"aggregate({keys}, 0D, (a, x) -> a + coalesce({V.real_of(Value('x', 'dyn'))}, 0D))"
+        if name == "sum":
+            whole = f"bool_and(NOT ({V.number_of(v).sql}).f){filtered}"
+            exact = _in_range(f"aggregate({keys}, CAST(0 AS DECIMAL(38,0)), (a, x) -> CAST(a + IF(x.k = 1, x.i, coalesce({V.int_of(Value('coalesce(x.t, CAST(x.b AS STRING))', 'text'))}, 0L)) AS DECIMAL(38,0)))")
+            return Value(f"IF(size({keys}) = 0, NULL, IF({whole}, {V.dyn_int(exact)}, {V.dyn_real(total)}))", "dyn")
+        return Value(total if name == "total" else f"{total} / nullif(size({keys}), 0)", "real")
     return _concat(v, args[1] if len(args) > 1 else V.literal(","), True, order, filtered)
 
 

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConstraintFailure, EngineError, Full, Mismatch, NameFailure, Unsupported
+from ..errors import ConstraintFailure, EngineError, Full, IoFailure, Mismatch, NameFailure, Unsupported
 from ..functions import values as V
 from ..functions.values import Value
 from ..plans import ast
@@ -69,31 +69,65 @@ class Mutations:
         return [*own, t.rowid] if t.rowid and t.rowid not in own else own
 
     def put(self, t: Table, frame: DataFrame) -> None:
-        """Check constraints, then make ``frame`` the table's rows."""
-        for c in t.columns:
-            if c.not_null and not c.primary and not frame.filter(F.col(f"`{c.name}`").isNull()).isEmpty():
-                raise ConstraintFailure(f"NOT NULL constraint failed: {t.name}.{c.name}")
-        if t.rowid and not frame.groupBy(f"`{t.rowid}`").count().filter("count > 1").isEmpty():
-            raise ConstraintFailure(f"UNIQUE constraint failed: {t.name}.{(t.key_column.name if t.key_column else 'rowid')}")
-        for x in self.catalog.state.indexes.values():
-            if x.unique and x.table.lower() == t.name.lower():
-                self.check_unique(t, frame, x)
+        """Make ``frame``, whose constraints hold, the table's rows."""
         pending = t.pending + 1
         if pending >= KEPT:
             frame, pending = self.written(frame), 0
         self.catalog.state.tables[t.name.lower()] = replace(self.catalog.swap(t, frame), pending=pending)
 
+    def unique(self, t: Table) -> list[Index]:
+        return [x for x in self.catalog.state.indexes.values() if x.unique and x.table.lower() == t.name.lower()]
+
+    def keys(self, t: Table, x: Index) -> list[str]:
+        return [V.key(Value(f"`{c}`", t.column(c).kind, collation=collation or t.column(c).collation)) for c, collation, _ in x.terms]
+
+    def not_unique(self, t: Table, columns: list[str]) -> ConstraintFailure:
+        return ConstraintFailure(f"UNIQUE constraint failed: {', '.join(f'{t.name}.{c}' for c in columns)}")
+
+    def rowid_name(self, t: Table) -> str:
+        return t.key_column.name if t.key_column else "rowid"
+
+    def check_new(self, t: Table, new: DataFrame) -> None:
+        """Constraints of one new row: its own nulls, and a look for its keys among the rows there are."""
+        row = new.select(*[F.col(f"`{c.name}`").isNull().alias(f"n{i}") for i, c in enumerate(t.columns)], *([F.col(f"`{t.rowid}`").alias("rowid")] if t.rowid else [])).first()
+        for i, c in enumerate(t.columns):
+            if c.not_null and not c.primary and row[f"n{i}"]:
+                raise ConstraintFailure(f"NOT NULL constraint failed: {t.name}.{c.name}")
+        if t.rowid and not t.frame.filter(F.col(f"`{t.rowid}`") == row["rowid"]).isEmpty():
+            raise self.not_unique(t, [self.rowid_name(t)])
+        for x in self.unique(t):
+            names = [f"k{i}" for i in range(len(x.terms))]
+            keyed = lambda frame, x=x, names=names: frame.select(*[F.expr(k).alias(n) for k, n in zip(self.keys(t, x), names, strict=True)]).dropna()
+            if not keyed(t.frame).join(F.broadcast(keyed(new)), names, "left_semi").isEmpty():  # one row
+                raise self.not_unique(t, [c for c, _, _ in x.terms])
+
+    def check_changed(self, t: Table, frame: DataFrame, changed: set[str]) -> None:
+        """Constraints that changed columns can break, over all rows: nulls in one pass, and each key that holds such a column."""
+        wanted = [c for c in t.columns if c.not_null and not c.primary and c.name in changed]
+        if wanted:
+            nulls = frame.agg(*[F.max(F.col(f"`{c.name}`").isNull()).alias(f"n{i}") for i, c in enumerate(wanted)]).first()
+            for i, c in enumerate(wanted):
+                if nulls[f"n{i}"]:
+                    raise ConstraintFailure(f"NOT NULL constraint failed: {t.name}.{c.name}")
+        if t.rowid in changed and not frame.groupBy(f"`{t.rowid}`").count().filter("count > 1").isEmpty():
+            raise self.not_unique(t, [self.rowid_name(t)])
+        for x in self.unique(t):
+            if changed & {t.column(c).name for c, _, _ in x.terms}:
+                self.check_unique(t, frame, x)
+
     def check_unique(self, t: Table, frame: DataFrame, x: Index) -> None:
-        keys = [F.expr(V.key(Value(f"`{c}`", t.column(c).kind, collation=collation or t.column(c).collation))).alias(f"k{i}") for i, (c, collation, _) in enumerate(x.terms)]
-        twice = frame.select(*keys).dropna().groupBy(*[f"k{i}" for i in range(len(keys))]).count().filter("count > 1")
+        names = [f"k{i}" for i in range(len(x.terms))]
+        twice = frame.select(*[F.expr(k).alias(n) for k, n in zip(self.keys(t, x), names, strict=True)]).dropna().groupBy(*names).count().filter("count > 1")
         if not twice.isEmpty():
-            raise ConstraintFailure(f"UNIQUE constraint failed: {', '.join(f'{t.name}.{c}' for c, _, _ in x.terms)}")
+            raise self.not_unique(t, [c for c, _, _ in x.terms])
 
     def written(self, frame: DataFrame) -> DataFrame:
         """Rows written to the cluster's checkpoint folder and read again: short lineage that survives lost executors."""
         spark = self.session.spark
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-        path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise IoFailure("spark.checkpoint.dir has to name a folder that all executors share")
+        path = f"{(folder or tempfile.gettempdir()).rstrip('/')}/table-{uuid.uuid4().hex}"
         frame.write.parquet(path)
         return spark.read.schema(frame.schema).parquet(path)
 
@@ -118,6 +152,7 @@ class Mutations:
             cells.append(f"{rowid}L AS `{t.rowid}`")
         new = self.session.spark.sql(f"SELECT {', '.join(cells)}")
         new = new.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in t.frame.schema.fields if f.name in new.columns])
+        self.check_new(t, new)
         self.put(t, t.frame.select(*[f"`{n}`" for n in self.names(t)]).unionByName(new))
         self.session.changes = 1
         if rowid is not None:
@@ -160,10 +195,14 @@ class Mutations:
             v = binder.expr(expr, scope)
             sets[c.name] = V.as_int(V.shown(v)) if c.primary and v.kind in ("int", "bool") else self.stored(v, c)
         cells = [f"IF(t.hit, {sets[n]}, t.`{n}`) AS `{n}`" if n in sets else f"t.`{n}`" for n in self.names(t)]
-        before = self.session.spark.sql(f"SELECT count_if({hit}) AS n FROM {t.view} AS t") if "SELECT" not in hit else self.session.spark.sql(f"SELECT count(1) AS n FROM {t.view} AS t WHERE {hit}")
-        self.session.changes = before.first().n
-        frame = self.session.spark.sql(f"SELECT {', '.join(cells)} FROM (SELECT t.*, {hit} AS hit FROM {t.view} AS t) AS t")
+        told = self.session.spark.sql(f"SELECT t.*, {hit} AS hit FROM {t.view} AS t")
+        view = self.catalog.view_of(told, f"{t.name}_hit")
+        changes = told.filter("hit").count()
+        frame = self.session.spark.sql(f"SELECT {', '.join(cells)} FROM {view} AS t")
+        if changes:
+            self.check_changed(t, frame, set(sets))
         self.put(t, frame)
+        self.session.changes = changes
 
     def delete(self, tree: ast.Delete, binder: Binder) -> None:
         t = self.catalog.table(tree.table)

@@ -9,8 +9,10 @@ and executors can open.
 
 from __future__ import annotations
 
+import os
 import sqlite3
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +42,13 @@ def _q(name: str) -> str:
 
 
 def describe(path: str, table: str) -> dict[str, Any]:
-    """columns [(name, declared type, Spark type, not null)], rowid column or None, key column or None."""
+    """columns [(name, declared type, Spark type, not null)], rowid column or None, key column or None; looked up once for each state of the file."""
+    told = os.stat(path.removeprefix("file://").removeprefix("file:"))
+    return _described(path, table, told.st_mtime_ns, told.st_size)
+
+
+@lru_cache(256)
+def _described(path: str, table: str, changed: int, size: int) -> dict[str, Any]:
     db = connect(path)
     try:
         info = db.execute(f"PRAGMA table_info({_q(table)})").fetchall()
@@ -90,15 +98,11 @@ class _Reader(DataSourceReader):
         if self.known["rowid"] is None:
             return [_Range(None, None)]
         db = connect(self.path)
-        try:
-            low, high, n = db.execute(f"SELECT min(rowid), max(rowid), count(*) FROM {_q(self.table)}").fetchone()
+        try:  # every so many rows a range begins, whatever gaps rowids have
+            starts = [r[0] for r in db.execute(f"SELECT id FROM (SELECT rowid AS id, row_number() OVER (ORDER BY rowid) AS k FROM {_q(self.table)}) WHERE (k - 1) % ? = 0", (self.rows,))]
         finally:
             db.close()
-        if not n:
-            return []
-        parts = max(1, min(4096, -(-n // self.rows)))
-        cuts = [low + (high - low + 1) * i // parts for i in range(parts + 1)]
-        return [_Range(a, b - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [_Range(a, b - 1) for a, b in zip(starts, [*starts[1:], 1 << 63], strict=True)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         db = connect(self.path)
@@ -231,7 +235,5 @@ def inspect_pages(spark: SparkSession, path: str) -> DataFrame:
                     out.append((n, kind, cells, start - end, int.from_bytes(page[at + 1 : at + 3], "big"), page[at + 7], issue))
                 yield pd.DataFrame(out, columns=["page", "kind", "cells", "free", "first_free", "fragments", "issue"]).astype({"cells": "Int64", "free": "Int64", "first_free": "Int64", "fragments": "Int64"})
 
-    import os
-
     pages = os.path.getsize(local) // size
     return spark.range(1, pages + 1).mapInPandas(run, "page long, kind string, cells long, free long, first_free long, fragments long, issue string")

@@ -121,6 +121,14 @@ SELECT id, value + 1, value || 'z', length(value), -value FROM mixed
 SELECT DISTINCT value FROM mixed WHERE id < 4
 SELECT count(DISTINCT value), min(value), max(value), total(value) FROM mixed
 SELECT value, count(*) FROM mixed WHERE id IN (2, 3, 9) GROUP BY value
+SELECT value, count(*) FROM mixed WHERE id < 5 GROUP BY value
+SELECT DISTINCT value FROM mixed WHERE id IN (3, 2, 9) AND id > 1
+SELECT DISTINCT name COLLATE NOCASE FROM people
+SELECT name, count(*) FROM people GROUP BY name COLLATE NOCASE HAVING min(id) < 9
+SELECT sum(value), sum(DISTINCT value) FROM mixed WHERE id IN (2, 4, 9)
+SELECT sum(value), sum(DISTINCT value), avg(DISTINCT value) FROM mixed WHERE id IN (2, 3, 7, 8)
+SELECT sum(DISTINCT value), total(DISTINCT value) FROM mixed WHERE id > 100
+SELECT count(DISTINCT name COLLATE NOCASE), count(DISTINCT value) FILTER (WHERE people.id > 2) FROM people JOIN mixed ON people.id = mixed.id
 SELECT id FROM mixed WHERE value
 SELECT a.id, b.id FROM mixed a JOIN mixed b ON a.value = b.value
 SELECT coalesce(value, 'none') FROM mixed
@@ -139,6 +147,10 @@ SELECT id FROM people ORDER BY id LIMIT 1, 2
 SELECT id FROM people ORDER BY id LIMIT -1 OFFSET 4
 SELECT id FROM people ORDER BY id LIMIT 1 + 1
 SELECT id FROM people ORDER BY id LIMIT 0
+SELECT id FROM people ORDER BY id LIMIT 9223372036854775807 OFFSET 2
+SELECT id FROM people ORDER BY id LIMIT 3000000000
+SELECT id FROM people ORDER BY id LIMIT 2 OFFSET 4000000000
+SELECT id FROM people UNION ALL SELECT 9 ORDER BY 1 LIMIT 5000000000 OFFSET 3
 SELECT DISTINCT dept FROM people ORDER BY dept DESC
 SELECT dept, count(*) c FROM people GROUP BY dept ORDER BY c DESC, dept
 SELECT dept FROM people GROUP BY dept ORDER BY sum(age), dept
@@ -188,6 +200,35 @@ def test_order(both, sql):
     same(ours.execute(sql), lite.execute(sql).fetchall(), True)
 
 
+def test_bounds_counted_by_row_numbers(both, monkeypatch):
+    """Beyond what Spark's own LIMIT takes, with that set low."""
+    from lumenrow.plans import binder
+
+    monkeypatch.setattr(binder, "SMALL", 2)
+    for sql in ("SELECT id FROM people ORDER BY id DESC LIMIT 2 OFFSET 3", "SELECT id FROM people ORDER BY id LIMIT 4 OFFSET 1", "SELECT id FROM people ORDER BY age, id LIMIT -1 OFFSET 4", "SELECT id FROM people ORDER BY id LIMIT 3 OFFSET 9"):
+        same(both[1].execute(sql), both[0].execute(sql).fetchall(), True)
+
+
+def test_sums_beyond_64_bits_are_errors(both):
+    for sql in ("SELECT sum(value) FROM mixed WHERE id IN (2, 10)", "SELECT sum(DISTINCT value) FROM mixed WHERE id IN (2, 10)"):
+        with pytest.raises(Exception, match="integer overflow"):
+            both[1].execute(sql)
+        with pytest.raises(sqlite3.OperationalError, match="integer overflow"):
+            both[0].execute(sql).fetchall()
+    assert both[1].execute("SELECT typeof(sum(value)) FROM mixed WHERE id IN (2, 7, 10)") == [("real",)]
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_representatives_under_any_partitioning(both, partitions):
+    """The first of equal values stands for them wherever the rows lie."""
+    ours = Session(both[1].spark)
+    table = both[1].catalog.table("mixed")
+    ours.catalog.state.tables["mixed"] = table
+    ours.catalog.swap(table, table.frame.orderBy("id", ascending=False).repartition(partitions))
+    for sql in ("SELECT DISTINCT value FROM mixed WHERE id < 4", "SELECT value, count(*) FROM mixed WHERE id < 10 GROUP BY value"):
+        same(ours.execute(sql), both[0].execute(sql).fetchall(), False)
+
+
 #: What the library at hand may be too old for.
 LITERAL = [
     ("SELECT group_concat(name, '-' ORDER BY id), string_agg(age, ';' ORDER BY age DESC, id) FROM people", [("Ann-bob-ANN-Eve-bob  ", "40;31;25;25;7")]),

@@ -235,3 +235,64 @@ def test_entry():
     assert set(catalogue.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert Unsupported.code == 1
+
+
+def test_commits_to_a_folder_last(spark, tmp_path):
+    folder = str(tmp_path / "db")
+    spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string").write.parquet(f"{folder}/items.parquet")
+    s = Session.open(spark, folder, write=True)
+    s.execute("INSERT INTO items VALUES (3, 'c')")
+    s.execute("CREATE TABLE t(id INTEGER PRIMARY KEY, body TEXT NOT NULL DEFAULT 'x', raw DEFAULT x'00ff'); CREATE UNIQUE INDEX u ON t(body COLLATE NOCASE)")
+    s.execute("INSERT INTO t DEFAULT VALUES; INSERT INTO t(body, raw) VALUES ('y', 2.5)")
+    s.execute("BEGIN; UPDATE items SET name = 'z' WHERE id = 1; DELETE FROM t; ROLLBACK")
+    s.execute("BEGIN; DELETE FROM items WHERE id = 2")
+    again = Session.open(spark, folder)
+    assert sorted(again.execute("SELECT * FROM items")) == [(1, "a"), (2, "b"), (3, "c")]  # not committed yet
+    s.execute("UPDATE items SET name = name || '!'; COMMIT")
+    s.execute("SAVEPOINT a; DELETE FROM items WHERE id = 3; SAVEPOINT b; DELETE FROM items; ROLLBACK TO b; RELEASE a")
+    assert s.execute("SELECT * FROM items") == [(1, "a!")]
+    again = Session.open(spark, folder, write=True)
+    assert again.execute("SELECT * FROM items") == [(1, "a!")]
+    assert again.execute("SELECT rowid, body, typeof(raw) FROM t ORDER BY id") == [(1, "x", "blob"), (2, "y", "real")]
+    assert again.execute("SELECT name FROM sqlite_schema WHERE type = 'index'") == [("u",)]
+    with pytest.raises(ConstraintFailure):
+        again.execute("INSERT INTO t(body) VALUES ('Y')")
+    again.execute("INSERT INTO t(body) VALUES ('w')")
+    assert Session.open(spark, folder, write=True).execute("SELECT id, body FROM t ORDER BY 1") == [(1, "x"), (2, "y"), (3, "w")]
+
+
+def test_an_interrupted_commit_is_finished_or_forgotten(spark, tmp_path, monkeypatch):
+    from lumenrow.sources import folder as store
+
+    folder = str(tmp_path / "db")
+    spark.createDataFrame([(1,)], "id long").write.parquet(f"{folder}/a.parquet")
+    spark.createDataFrame([(1,)], "id long").write.parquet(f"{folder}/b.parquet")
+
+    def dies(self, note):
+        raise OSError("power cut")
+
+    s = Session.open(spark, folder, write=True)
+    monkeypatch.setattr(store.Store, "finish", dies)
+    with pytest.raises(OSError):
+        s.execute("BEGIN; INSERT INTO a VALUES (2); DELETE FROM b; COMMIT")
+    monkeypatch.undo()
+    s = Session.open(spark, folder, write=True)  # the note was there: both tables change
+    assert (sorted(s.execute("SELECT id FROM a")), s.execute("SELECT id FROM b")) == ([(1,), (2,)], [])
+    monkeypatch.setattr(store.Files, "write", dies)
+    with pytest.raises((OSError, TypeError)):
+        s.execute("DELETE FROM a")
+    assert len(s.execute("SELECT id FROM a")) == 2
+    monkeypatch.undo()
+    assert len(Session.open(spark, folder, write=True).execute("SELECT id FROM a")) == 2
+
+
+def test_changed_columns_are_checked(session):
+    session.execute("CREATE TABLE k(id INTEGER PRIMARY KEY, a TEXT NOT NULL, b); CREATE UNIQUE INDEX ab ON k(a, b)")
+    session.execute("INSERT INTO k VALUES (1, 'x', 1); INSERT INTO k VALUES (2, 'x', 2); INSERT INTO k VALUES (3, 'x', NULL); INSERT INTO k VALUES (4, 'x', NULL)")
+    for wrong in ("INSERT INTO k VALUES (1, 'q', 9)", "INSERT INTO k VALUES (9, 'x', 1.0)", "INSERT INTO k VALUES (9, NULL, 1)", "UPDATE k SET b = 1 WHERE id = 2", "UPDATE k SET a = NULL WHERE id = 1", "UPDATE k SET id = 7 WHERE id < 3"):
+        with pytest.raises(ConstraintFailure):
+            session.execute(wrong)
+    session.execute("UPDATE k SET b = b + 1, id = id + 10")
+    assert session.execute("SELECT id, b FROM k ORDER BY id") == [(11, 2), (12, 3), (13, None), (14, None)]
+    session.execute("UPDATE k SET a = 'y' WHERE id > 99")
+    assert session.changes == 0
