@@ -4,6 +4,12 @@ Each stage takes the documents that the one before kept, and its decisions take
 effect; all but the last return the columns of ``documents``.  Stages that decide
 on narrow tables bring their verdicts back by a semi join, so repeated rows and
 null ids keep their number.  A stage's parameters are those of its operator's query.
+
+Texts that are null, blank or without a letter end at the language stage.  Texts of
+any length pass whole.  Null languages and sources are groups of their own.  Repeated
+rows share one verdict in every stage.  Columns beyond those of ``documents``, whatever
+their names, are kept up to the last stage, which gives the columns of its operator.
+An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -39,14 +45,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; documents without an id stay."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("k_doc_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k_doc_id"]), "left_semi")
+    """Keeps the document with the smallest id of each group; documents without an id stay, and meet no join."""
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("k_doc_id"))
+    named = docs.filter(docs["doc_id"].isNotNull())
+    return named.join(kept, named["doc_id"] == kept["k_doc_id"], "left_semi").unionByName(docs.filter(docs["doc_id"].isNull()))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are drawn."""
-    taken = drawn(docs, None, 0.6, "mix").filter("sampled").select(*[F.col(c).alias(f"k_{c}") for c in ("doc_id", "lang", "source", "text_hash")])
+    """Keeps the documents that are drawn for the targets of the operator's query."""
+    taken = drawn(docs).filter("sampled").select(*[F.col(c).alias(f"k_{c}") for c in ("doc_id", "lang", "source", "text_hash")])
     same = docs["doc_id"].eqNullSafe(taken["k_doc_id"]) & (F.xxhash64(docs["text"]) == taken["k_text_hash"]) & (F.coalesce(docs["lang"], F.lit(NONE)) == taken["k_lang"]) & (F.coalesce(docs["source"], F.lit(NONE)) == taken["k_source"])
     return docs.join(taken, same, "left_semi")
 
