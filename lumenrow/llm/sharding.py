@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import cut, discard
 
 #: Capacities tried in one pass over the sizes.
-TRIED = 64
+TRIED = 256
 #: Rows and groups are numbered inside this many parts first, so that no task numbers a whole shard.
 PARTS = 4096
 
@@ -48,10 +48,10 @@ class Runs:
             return []
         c = ("groups", "bytes")[unit]
         last = F.col(f"{c}_before") + F.col("n") * (F.col("weight") if unit else F.lit(1))
-        asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).cast("long").alias("x")) for i, x in enumerate(places)])
-        rows = self.table.select("*", F.explode(F.filter(asked, lambda q: (q["x"] >= F.col(f"{c}_before")) & (q["x"] < last))).alias("q"))
-        got = {r["q"]["i"]: r for r in rows.collect()}
-        return [got[i] for i in range(len(places))]
+        asked = F.expr(f"array({', '.join(f'{x}L' for x in sorted(set(places)))})")
+        rows = self.table.select("*", F.explode(F.filter(asked, lambda x: (x >= F.col(f"{c}_before")) & (x < last))).alias("place"))
+        got = {r["place"]: r for r in rows.collect()}
+        return [got[x] for x in places]
 
     def at_bytes(self, places: list[int], way: int) -> list[tuple[int, int]]:
         """The longest prefixes of no more bytes (way -1), the shortest of no fewer (1), or the nearest (0)."""

@@ -73,6 +73,6 @@ def test_odd_rows_and_columns(spark, tmp_path):
     done = stages(spark, docs, tmp_path)
     assert done[0][2].columns == docs.columns
     assert ids(done[0][2]) == [1, 1, 6, None]
-    assert ids(done[1][2]) == [1, 1, None] or ids(done[1][2]) == [1, 1, 6, None]
+    assert ids(done[1][2]) == ids(done[2][2]) == [1, 1, None]  # 6 repeats itself; rows of one id stay together
     empty = stages(spark, docs.limit(0), tmp_path / "empty")
     assert [after.count() for _, _, after in empty] == [0] * 5
