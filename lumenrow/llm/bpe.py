@@ -224,8 +224,9 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     """Encode each whole text, decode the ids again; one row for each row of ``docs``.
 
     ``ranks_path`` is read on the driver and broadcast (its size is the vocabulary's,
-    whatever the input).  Null text counts as empty: no tokens.  A null id stays
-    null; repeated rows give equal rows; other columns aren't read.  ``with_ids``
+    whatever the input).  Null text counts as empty: no tokens.  Texts of any length
+    are encoded whole.  A null id stays null; repeated rows give equal rows; other
+    columns aren't read; an empty table gives none.  ``with_ids``
     adds ``token_ids`` binary, the ids as little-endian unsigned 32-bit integers.
     """
     spark = docs.sparkSession

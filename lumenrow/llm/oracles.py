@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import mixing, quality
+from . import lm_scoring, mixing, quality
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,6 +79,23 @@ def _quoted(text: str) -> str:
     return " || ".join(f"chr({ord(c)})" if c < " " else f"'{c}'" for c in text) if "\n" in text else f"'{text}'"
 
 
+def cross_entropy() -> str:
+    """Both models by counting words and pairs; losses to six places."""
+    prior, pull = f"{lm_scoring.PRIOR!r}::DOUBLE", f"{lm_scoring.PULL!r}::DOUBLE"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_words(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS ws,
+           doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS chosen FROM documents),
+t AS MATERIALIZED (SELECT row, chosen, w, i, lag(w) OVER (PARTITION BY row ORDER BY i) AS p FROM (SELECT row, chosen, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+one AS MATERIALIZED (SELECT w, CAST(count(*) AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE chosen) AS DOUBLE) AS t FROM t GROUP BY w),
+two AS MATERIALIZED (SELECT p, w, CAST(count(*) AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE chosen) AS DOUBLE) AS t FROM t WHERE p IS NOT NULL GROUP BY p, w),
+a AS (SELECT w, b, t, b / sum(b) OVER () AS ab, (t + {pull} * (b / sum(b) OVER ())) / (sum(t) OVER () + {pull}) AS at FROM one),
+l AS (SELECT t.row, -log2(CASE WHEN t.p IS NULL THEN a.ab ELSE (two.b + {prior} * a.ab) / (q.b + {prior}) END) AS bl, -log2(CASE WHEN t.p IS NULL THEN a.at ELSE (two.t + {prior} * a.at) / (q.t + {prior}) END) AS tl
+      FROM t JOIN a ON a.w = t.w LEFT JOIN two ON two.p = t.p AND two.w = t.w LEFT JOIN one AS q ON q.w = t.p),
+m AS (SELECT row, avg(bl) AS bl, avg(tl) AS tl FROM l GROUP BY row)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, round(tl, 6) AS target_loss, round(bl, 6) AS background_loss, round(coalesce(bl - tl, 0), 6) AS score FROM d LEFT JOIN m USING (row)
+"""
+
+
 def quality_rules(cutoff: float = quality.CUTOFF, steps: int = quality.STEPS, least: int = quality.LEAST) -> str:
     g, p = quality.GRID, len(quality.NAMES)
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
