@@ -233,6 +233,9 @@ def _concat(v: Value, separator: Value, distinct: bool, order: list[tuple[str, s
             tests += [f"WHEN l.k{i} IS NULL AND r.k{i} IS NOT NULL THEN {1 if last else -1}", f"WHEN r.k{i} IS NULL AND l.k{i} IS NOT NULL THEN {-1 if last else 1}"]
             tests += [f"WHEN l.k{i} < r.k{i} THEN {1 if down else -1}", f"WHEN l.k{i} > r.k{i} THEN {-1 if down else 1}"]
         rows = f"array_sort({rows}, (l, r) -> CASE {' '.join(tests)} WHEN l.t < r.t THEN -1 WHEN l.t > r.t THEN 1 ELSE 0 END)"
+    if distinct and same == t:  # the separator is the comma, for DISTINCT takes one argument only
+        texts = f"array_distinct(transform({rows}, e -> e.t))"
+        return Value(V.let([texts], lambda x: f"IF(size({x}) = 0, NULL, array_join({x}, ','))"), "text")
     if distinct:
         rows = f"aggregate({rows}, CAST(array() AS ARRAY<STRUCT<t: STRING, s: STRING, y: {'STRING' if v.kind != 'dyn' else 'STRUCT<k: TINYINT, r: DOUBLE, o: BOOLEAN, i: BIGINT, t: STRING, b: BINARY>'}>>), (a, e) -> IF(exists(a, x -> x.y = e.y), a, array_append(a, struct(e.t AS t, e.s AS s, e.y AS y))))"
     joined = f"aggregate({rows}, CAST(NULL AS STRING), (a, e) -> IF(a IS NULL, e.t, concat(a, coalesce(e.s, ''), e.t)))"
