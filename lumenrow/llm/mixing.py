@@ -6,10 +6,12 @@ three sides; a document is drawn with its cell's expected over own tokens.  A dr
 fixed number made from the document's id, so it doesn't depend on partitions or order.
 
 Sources may be many, hosts say: each is one row that holds its cells, and its factor is
-solved inside the row.  Languages and topics are few: their factors are the driver's, and
-a round is one aggregation to languages x topics sums, of all expected tokens and of those
-in cells that aren't taken whole, which a factor can still raise.  Rounds go on until the largest
-relative error of a marginal is below the tolerance; the error that is left is reported.
+fitted inside the row, in each round.  Languages and topics are few: their factors are
+the driver's.  Fitting them in turn, each as if the others stood still, takes many rounds
+where cells are taken whole; so a round's aggregation tells how each marginal answers to
+each factor, with the sources fitted again, and all are fitted at once (Newton's step for
+raking; Deville and Sarndal, 1992).  Rounds go on until the largest relative error of a
+marginal is below the tolerance; the error that is left is reported.
 
 Topics are those of a column, or the nearest of a few centres of the texts' shape, found
 by Lloyd's steps in whole numbers.
@@ -17,6 +19,7 @@ by Lloyd's steps in whole numbers.
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +35,7 @@ NONE = "(none)"
 TARGETS: dict[str, dict[str, float] | float] = {"source": 0.0, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.9}
 BUDGET, SEED, TOLERANCE = 0.4, "mix", 1e-9
 #: Raking stops after so many rounds without a better error, or so many in all: targets that can't be met keep an error.
-PATIENCE, ROUNDS = 15, 1000
+PATIENCE, ROUNDS = 8, 60
 TOPICS, STEPS = 4, 8
 #: Characters that a text's shape is told by, each a rate in a thousand; beside them words in a thousand characters.
 SHAPE = ("0123456789", ".,;:", "!?", "#*$%&|<>{}[]=", "\n")
@@ -98,6 +101,23 @@ def _source_targets(sources: DataFrame, wanted: dict[str, float] | float | None,
     return sources.withColumn("share", own / (sources.agg(F.sum(own).alias("w")).first()["w"] or 1.0))
 
 
+def solve(rows: list[list[float]], right: list[float]) -> list[float]:
+    """x with rows x = right, by elimination; 0 where nothing holds x."""
+    n, rows = len(right), [[*row, x] for row, x in zip(rows, right, strict=True)]
+    for i in range(n):
+        top = max(range(i, n), key=lambda k: abs(rows[k][i]))
+        rows[i], rows[top] = rows[top], rows[i]
+        for k in range(i + 1, n):
+            if rows[i][i] and rows[k][i]:
+                f = rows[k][i] / rows[i][i]
+                rows[k] = [a - f * b for a, b in zip(rows[k], rows[i], strict=True)]
+    out = [0.0] * n
+    for i in reversed(range(n)):
+        rest = rows[i][n] - sum(rows[i][j] * out[j] for j in range(i + 1, n))
+        out[i] = rest / rows[i][i] if rows[i][i] else 0.0
+    return out
+
+
 def rake(cells: DataFrame, targets: dict[str, Any], budget: float, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[DataFrame, float, int]:
     """(source, lang, topic, tokens, expected), the largest relative error of a marginal, and the rounds it took.
 
@@ -128,31 +148,44 @@ def rake(cells: DataFrame, targets: dict[str, Any], budget: float, tolerance: fl
         told = told.withColumn("__a", F.expr(f"IF(target <= 0, 0D, aggregate(__x, named_struct('some', 0D, 'left', tokens, 'a', 1E300D), (s, x) -> {step}).a)"))
         return told.withColumn("e", F.expr("transform(cells, x -> named_struct('at', x.at, 'tokens', x.tokens, 'e', least(double(x.tokens), __a * __w[x.at] * x.tokens)))")).drop("__w", "__x", "__a")
 
+    n_langs, n = len(names["lang"]), len(names["lang"]) + n_topics
+    want = [*wanted["lang"], *wanted["topic"]]
+
+    def round_sums() -> tuple[list[float], list[list[float]], float]:
+        """Expected tokens of each language and topic; how they answer to their factors' logarithms, when sources meet their targets again; the sources' largest error."""
+        told = solved().withColumn("__p", F.expr(f"transform(e, x -> named_struct('l', x.at div {n_topics}, 't', {n_langs} + x.at % {n_topics}, 'e', x.e, 'f', IF(x.e < x.tokens, x.e, 0D)))"))
+        told = told.withColumn("__y", F.expr(f"transform(sequence(0, {n - 1}), i -> aggregate(__p, 0D, (s, x) -> s + IF(x.l = i OR x.t = i, x.f, 0D)))"))
+        told = told.withColumn("__r", F.expr("aggregate(__p, 0D, (s, x) -> s + x.f)")).withColumn("__i", F.expr(f"filter(sequence(0, {n - 1}), i -> __y[i] > 0)"))
+        row = lambda i, j, v: f"transform(__p, x -> named_struct('i', int({i}), 'j', int({j}), 'v', {v}))"
+        own = [row(i, j, "x.f") for i in ("x.l", "x.t") for j in ("x.l", "x.t")]
+        back = "flatten(transform(__i, i -> transform(__i, j -> named_struct('i', i, 'j', j, 'v', -__y[i] * __y[j] / __r))))"
+        told = told.select("target", F.expr("aggregate(__p, 0D, (s, x) -> s + x.e)").alias("got"), F.explode(F.expr(f"concat({', '.join([row('x.l', -1, 'x.e'), row('x.t', -1, 'x.e'), *own, back])})")).alias("x"))
+        off = F.when(F.col("target") > 0, F.abs(F.col("got") - F.col("target")) / F.col("target"))
+        got, slopes, error = [0.0] * n, [[0.0] * n for _ in range(n)], 0.0
+        for r in told.groupBy("x.i", "x.j").agg(F.sum("x.v").alias("v"), F.max(off).alias("off")).collect():
+            error = max(error, r["off"] or 0.0)
+            if r["j"] < 0:
+                got[r["i"]] = r["v"]
+            else:
+                slopes[r["i"]][r["j"]] = r["v"]
+        return got, slopes, error
+
     turn, best, since = 0, float("inf"), 0
+    most, last = [1.0] * n, [0.0] * n  # a factor whose error changes sign takes half the step at most: cells taken whole answer to nothing
     while True:
-        each = solved().select("target", F.aggregate("e", F.lit(0.0), lambda s, x: s + x["e"]).alias("got"), F.explode("e").alias("x"))
-        off = F.when(F.col("target") > 0, F.abs(F.col("got") - F.col("target")) / F.col("target"))
-        part = F.when(F.col("x.e") < F.col("x.tokens"), F.col("x.e")).otherwise(0.0)  # what a factor can still raise
-        sums = {r["at"]: r for r in each.groupBy("x.at").agg(F.sum("x.e").alias("e"), F.sum(part).alias("free"), F.max(off).alias("off")).collect()}
-        now, free = ({at: r[c] for at, r in sums.items()} for c in ("e", "free"))
-        error = max((r["off"] or 0.0 for r in sums.values()), default=0.0)
-        of = {"lang": lambda at: at // n_topics, "topic": lambda at: at % n_topics}
-        for side in SIDES[1:]:
-            got, able, told = ([0.0] * len(names[side]) for _ in range(3))
-            for at, r in sums.items():
-                i = of[side](at)
-                told[i], got[i], able[i] = told[i] + r["e"], got[i] + now[at], able[i] + free[at]
-            error = max([error, *(abs(g - t) / t for t, g in zip(wanted[side], told, strict=True) if t > 0)])
-            ratio = [min(100.0, max(0.01, (t - g + a) / a)) if a > 0 and t > 0 else 1.0 for t, g, a in zip(wanted[side], got, able, strict=True)]
-            factors[side] = [f * r if t > 0 else 0.0 for f, r, t in zip(factors[side], ratio, wanted[side], strict=True)]
-            now = {at: e + free[at] * (ratio[of[side](at)] - 1) for at, e in now.items()}
-            free = {at: e * ratio[of[side](at)] for at, e in free.items()}
-        top = max(max(f) for f in factors.values())
-        factors = {side: [f / top ** 0.5 for f in own] for side, own in factors.items()} if top > 1e100 else factors
+        got, slopes, error = round_sums()
+        error = max([error, *(abs(g - t) / t for g, t in zip(got, want, strict=True) if t > 0)])
         turn, since = turn + 1, 0 if error < 0.99 * best else since + 1
         best = min(best, error)
         if error < tolerance or since == PATIENCE or turn == rounds:
             break
+        ridge = 1e-9 * sum(slopes[i][i] for i in range(n)) / n  # one factor for all leaves everything as it is
+        steps = solve([[v + ridge * (i == j) for j, v in enumerate(own)] for i, own in enumerate(slopes)], [t - g for g, t in zip(got, want, strict=True)])
+        now = [t - g for g, t in zip(got, want, strict=True)]
+        most = [m / 2 if a * b < 0 else min(1.0, 1.5 * m) for m, a, b in zip(most, now, last, strict=True)]
+        last = now
+        raised = [math.exp(min(m, max(-m, x))) if t > 0 else 0.0 for x, t, m in zip(steps, want, most, strict=True)]
+        factors = {"lang": [f * r for f, r in zip(factors["lang"], raised[:n_langs], strict=True)], "topic": [f * r for f, r in zip(factors["topic"], raised[n_langs:], strict=True)]}
     done = cut(solved().select("source", F.explode("e").alias("x")).select("source", "x.at", "x.tokens", F.col("x.e").alias("expected")), "raked", sources)
     name = lambda side, at: F.element_at(F.array(*[F.lit(x) for x in names[side]]), (at + 1).cast("int"))
     return done.select("source", name("lang", F.floor(F.col("at") / n_topics)).alias("lang"), name("topic", F.col("at") % n_topics).alias("topic"), "tokens", "expected"), error, turn
