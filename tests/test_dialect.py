@@ -41,6 +41,9 @@ SELECT coalesce(NULL, 2, 3), ifnull(NULL, 'x'), nullif(1, 1), nullif(1, 2), iif(
 SELECT min(3, 1, 2), max('a', 'b'), max(1, 2.5), min(1, NULL), likely(3), unlikely(0), likelihood(4, 0.5)
 SELECT 1 IN (1, 2), 3 IN (1, 2), NULL IN (1), 1 IN (2, NULL), 1 IN (), NULL NOT IN (), 1 NOT IN (2, 3)
 SELECT 'a' COLLATE NOCASE = 'A', 'a ' = 'a', 'a ' COLLATE RTRIM = 'a', 'Ä' COLLATE NOCASE = 'ä'
+SELECT 0 AND nosuch, nosuch(1) AND 0, 1 AND 0 AND nosuch, id AND (nosuch AND 0), typeof(0 AND x) FROM people
+SELECT id FROM people WHERE nosuch AND 0
+SELECT count(*), 0 AND sum(age) FROM people
 SELECT * FROM people
 SELECT rowid, p.* FROM people p WHERE p.id > 2
 SELECT name, age + 1 AS older FROM people WHERE older > 26
@@ -281,6 +284,9 @@ SELECT x FROM people WINDOW w AS ()
 """.strip().splitlines()
 WRONG = """
 SELECT nosuch FROM people
+SELECT 0.0 AND nosuch
+SELECT NULL AND nosuch
+SELECT nosuch OR 1
 SELECT * FROM nosuch
 SELECT nosuch(1)
 SELECT abs()
