@@ -777,3 +777,23 @@ def test_splits_by_brute_force():
                 left, right = ([sum(sums[f, c][k] for c in cs) for k in (0, 1)] for cs in (range(b + 1), range(b + 1, 4)))
                 gains[f, b] = sum(g * g / (h + url_trees.SMOOTH) for g, h in (left, right)) - (left[0] + right[0]) ** 2 / (left[1] + right[1] + url_trees.SMOOTH)
         assert gains[name, at] == pytest.approx(max(gains.values()))
+
+
+# all
+
+
+def test_texts_of_over_two_mebibytes(spark):
+    """Whole texts count, however long, beside null, empty and repeated ones."""
+    from lumenrow.llm import language
+
+    rng = random.Random(12)
+    long = " ".join(f"word{int(rng.paretovariate(0.4)) % 200_000}{'#' * (i % 50 == 0)}" for i in range(320_000)) + "\nsame line\nsame line"
+    assert len(long) > 1 << 21
+    rows = [(1, long, "en", "a"), (1, long, "en", "a"), (2, long + " x", "en", "a"), (3, None, None, None), (4, "", "en", "a"), *[(10 + i, f"a short text of number {i} " * 3, "en", "a") for i in range(20)]]
+    docs = documents(spark, rows)
+    told = {r[0]: stats(r[1]) for r in rows}
+    got = quality.quality_verdicts(docs).collect()
+    assert [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got if r.doc_id < 5] == [told[r.doc_id] for r in got if r.doc_id < 5]
+    assert {(r.doc_id, r.n_tokens) for r in mixing.mix_sources(docs).collect()} == {(i, t[0]) for i, t in told.items()}
+    assert Counter((r.doc_id, r["size"]) for r in sharding.balanced_shards(docs).collect()) == Counter((r[0], len((r[1] or "").encode()) + 1) for r in rows)
+    assert {(r.doc_id, r.lang_pred) for r in language.identify(docs).collect() if r.doc_id < 5} == {(1, "en"), (2, "en"), (3, "und"), (4, "und")}
