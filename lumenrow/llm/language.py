@@ -252,9 +252,10 @@ def identify(docs: DataFrame, per_language: int = 150, max_bytes: int = 65536, o
     shipped = spark.sparkContext.broadcast(pickle.dumps(ContextTrees(texts, order) if texts else None))
     keep = keep or ["doc_id"]
     columns = [docs[c] for c in keep]
-    extra = [F.coalesce(F.pmod(F.crc32(docs["doc_id"].cast("long").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False)).alias(names[0]), F.coalesce(docs["text"].cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letter"), docs["text"].cast("string").alias("__scored")]
-    source = docs.select(*columns, *extra)
+    extra = [F.coalesce(F.pmod(F.crc32(docs["doc_id"].cast("long").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False)).alias(names[0]), F.coalesce(docs["text"].cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letter")]
     n = len(columns)
+    scored = keep.index("text") if "text" in keep and docs.schema["text"].dataType.simpleString() == "string" else n + 2  # texts go to Python once
+    source = docs.select(*columns, *extra, *([docs["text"].cast("string").alias("__scored")] if scored > n else []))
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +267,7 @@ def identify(docs: DataFrame, per_language: int = 150, max_bytes: int = 65536, o
             letter = np.array(batch.column(n + 1).to_pylist(), bool)
             found, score = np.full(len(letter), "und", object), np.zeros(len(letter))
             if trees is not None and letter.any():
-                bits = trees.bits(*strings(batch.column(n + 2)))
+                bits = trees.bits(*strings(batch.column(scored)))
                 best = bits.argmin(axis=1)
                 with np.errstate(under="ignore"):
                     share = 1 / np.exp2(-(bits - bits.min(axis=1, keepdims=True))).sum(axis=1)
