@@ -107,7 +107,7 @@ class Vocabulary:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) >= 1_500_000:
+            if len(self.pairs) >= 600_000:
                 self.pairs.clear()
             self.pairs[a << 32 | b] = got
         return got
@@ -171,7 +171,7 @@ class PrefixEncoder:
 class Codec:
     """Encodes and decodes whole texts; pieces seen before come from a bounded memory."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 700_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 400_000) -> None:
         self.vocab, self.find, self.memory = Vocabulary(ranks), regex.compile(pattern).findall, memory
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
