@@ -31,7 +31,7 @@ from .textwords import mix, slices, stream, strings, word_hashes
 #: What a pair's model is pulled to its second word by, and the target's words to the background's, in counts.
 PRIOR, PULL = 64.0, 32_768.0
 #: Bytes of text that are counted together; a longer text has a block of its own.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 #: Bytes of text for each shard of the key space.
 SHARD = 1 << 22
 _U = np.uint64

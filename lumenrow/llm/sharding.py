@@ -150,7 +150,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     rest = ranked.filter(~F.col("weight").isin(cut_sizes)) if cut_sizes else ranked
     dealt = rest.select(*key, whole.cast("int").alias("shard")).unionByName(placed)
 
-    out = cut(rows.join(dealt, key).withColumn("part", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(PARTS))), "dealt")
+    out = cut(rows.join(dealt, key).withColumn("part", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(PARTS))), "dealt", rows, groups)
     counts = out.groupBy("shard", "part").agg(F.count("*").alias("n"))
     counts = counts.select("shard", "part", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     slot = F.col("ahead") + F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "hash")) - 1

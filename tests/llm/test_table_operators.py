@@ -98,7 +98,7 @@ def test_words_of_any_length_are_whole(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_many_families_at_the_threshold(spark, seed):
     """Families near 75 % in one table: every link, and so every component, is brute force's."""
     rng = random.Random(100 + seed)
@@ -278,7 +278,7 @@ def test_quality_by_brute_force(spark):
             words = [w + rng.choice(["", "$$", "###"]) for w in words]
         if i % 11 == 0:
             words = words[:20] * 5
-        text = "".join(w + rng.choice([" ", " ", "\t", "\n"]) for w in words)
+        text = "".join(w + rng.choice([" ", " ", "\t", "\n", "\r\n", "\x0b", "\x0c"]) for w in words)
         rows.append((i, text, rng.choice(["en", "en", "de", None]), "s1" if i % 20 else "s2"))
     rows += [(1000, None, "en", "s1"), (1001, "", "en", "s1"), (1002, "same line\n" * 60, None, None), (None, "word " * 70, "en", "s1"), rows[5], rows[5]]
     got = quality.quality_verdicts(documents(spark, rows)).collect()
