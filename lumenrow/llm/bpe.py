@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .textwords import tidy
+
 NEVER = 1 << 62
 
 
@@ -243,4 +245,4 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
                 rows.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), *([ids] * with_ids)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)] if rows else [pa.array([], f.type) for f in arrow], schema=arrow)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA + (", token_ids binary" if with_ids else ""))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA + (", token_ids binary" if with_ids else ""))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard
-from .textwords import strings
+from .textwords import strings, tidy
 
 #: Bytes scored at once: their table reads for all languages take some 150 bytes each.
 CHUNK = 1 << 18
@@ -275,4 +275,4 @@ def identify(docs: DataFrame, per_language: int = 150, max_bytes: int = 65536, o
             yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(found.tolist(), pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[: n + 1], *names[1:]])
 
     shape = source.select(*source.columns[: n + 1]).schema.add(names[1], "string").add(names[2], "double")
-    return source.mapInArrow(run, shape)
+    return source.mapInArrow(tidy(run), shape)

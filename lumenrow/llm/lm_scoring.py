@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .textwords import mix, slices, stream, strings, word_hashes
+from .textwords import mix, slices, stream, strings, tidy, word_hashes
 
 #: What a pair's model is pulled to its second word by, and the target's words to the background's, in counts.
 PRIOR, PULL = 64.0, 32_768.0
 #: Bytes of text that are counted together; a longer text has a block of its own.
-BLOCK = 1 << 22
+BLOCK = 6 << 20
 #: Bytes of text for each shard of the key space.
 SHARD = 1 << 22
 _U = np.uint64
@@ -75,7 +75,7 @@ def blocks(plain: DataFrame) -> DataFrame:
         if held:
             yield packed(block, held, sizes, size)
 
-    return plain.mapInArrow(run, "block long, ids array<long>, sizes array<long>, bytes long, payload binary")
+    return plain.mapInArrow(tidy(run), "block long, ids array<long>, sizes array<long>, bytes long, payload binary")
 
 
 class Block:
@@ -137,7 +137,7 @@ def told(marked: DataFrame, shards: int) -> DataFrame:
                     rows.append((name, shard, len(block.keys[own]), _squeezed(np.diff(block.keys[own], prepend=_U(0))), _squeezed(every[own]), _squeezed(target[own])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _TOLD, strict=True)], names=["block", "shard", "n", "keys", "background", "target"])
 
-    return marked.select("block", "payload", "targets").mapInArrow(run, "block long, shard long, n long, keys binary, background binary, target binary")
+    return marked.select("block", "payload", "targets").mapInArrow(tidy(run), "block long, shard long, n long, keys binary, background binary, target binary")
 
 
 _TOLD = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())

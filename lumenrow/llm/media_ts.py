@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textwords import slices
+from .textwords import slices, tidy
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, ES_PID, PROGRAM = 0x0000, 0x1000, 0x0100, 1
@@ -315,4 +315,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows = [(i, *store_and_read(t.as_py())[: len(arrow) - 1]) for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA + (", media binary" if with_media else ""))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA + (", media binary" if with_media else ""))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard
-from .textwords import mix, slices, stream, strings, word_hashes
+from .textwords import mix, slices, stream, strings, tidy, word_hashes
 
 WORDS, BINS, ROWS = 5, 128, 4
 #: A bucket's members, and a shingle's holders, are dealt to so many tasks.
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array([band_keys(signature(s)) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ], schema=_SIG)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, fp binary, bands array<long>")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_shingles long, fp binary, bands array<long>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -135,7 +135,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in good], pa.int64()), pa.array([others[i] for i in good], pa.int64())], names=["a", "b"])
 
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
                     columns = np.repeat(ids[start + at : start + at + len(some)], sizes), np.repeat(names, sizes).view(np.int64), np.concatenate(some).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "text_set", "shingle"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, text_set long, shingle long")
+    return texts.select("node", "text").mapInArrow(tidy(run), "node long, text_set long, shingle long")
 
 
 def prefixes(texts: DataFrame, percent: int) -> DataFrame:
