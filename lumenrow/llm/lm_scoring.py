@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .textwords import mix, slices, stream, strings, tidy, word_hashes
+from .textwords import give_back, mix, slices, stream, strings, tidy, word_hashes
 
 #: What a pair's model is pulled to its second word by, and the target's words to the background's, in counts.
 PRIOR, PULL = 64.0, 32_768.0
 #: Bytes of text that are counted together; a longer text has a block of its own.
-BLOCK = 6 << 20
+BLOCK = 1 << 22
 #: Bytes of text for each shard of the key space.
 SHARD = 1 << 22
 _U = np.uint64
@@ -85,15 +85,18 @@ class Block:
         table = pa.ipc.open_stream(payload).read_all()
         self.ids = table.column("doc_id")
         found = [word_hashes(*strings(chunk)) for chunk in table.column("text").chunks]
-        words = np.concatenate([x[0] for x in found])
         self.sizes = np.concatenate([np.diff(x[1]) for x in found])
-        first = np.zeros(len(words), bool)
+        n = int(self.sizes.sum())
+        first = np.zeros(n, bool)
         first[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = True
         self.later = np.flatnonzero(~first)  # words that end a pair
+        every = np.concatenate([*[x[0] for x in found], np.empty(len(self.later), np.uint64)])  # words, then pairs
+        del found, table
         with np.errstate(over="ignore"):
-            pairs = mix(words[self.later - 1] * _PAIR[0] + words[self.later] * _PAIR[1])
-        self.keys, places = np.unique(np.concatenate((words, pairs)), return_inverse=True)
-        self.words, self.pairs = places[: len(words)], places[len(words) :]
+            every[n:] = mix(every[self.later - 1] * _PAIR[0] + every[self.later] * _PAIR[1])
+        self.keys, places = np.unique(every, return_inverse=True)
+        places = places.astype(np.int32 if len(every) < 1 << 31 else np.int64)
+        self.words, self.pairs = places[:n], places[n:]
 
     def counts(self, targets: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """How often each key occurs in all rows, and in those at ``targets``."""
@@ -154,7 +157,10 @@ def _added(table: pa.Table) -> pa.Table:
         sums = np.zeros(len(distinct), np.uint64)
         np.add.at(sums, place, sent)
         out.append(pa.array([_squeezed(sums[place[e - n : e]]) for e, n in zip(ends, sizes, strict=True)], pa.binary()))
-    return pa.table([table.column("block"), table.column("shard"), table.column("n"), *out], names=["block", "shard", "n", "background", "target"])
+    answer = pa.table([table.column("block"), table.column("shard"), table.column("n"), *out], names=["block", "shard", "n", "background", "target"])
+    del keys, distinct, place
+    give_back()
+    return answer
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -182,7 +188,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
         block, right = Block(left.column("payload")[0].as_py()), right.sort_by("shard")
         sizes = right.column("n").to_pylist()
         counts = tuple(np.concatenate([np.zeros(0, np.uint64), *[_opened(c.as_py(), n) for c, n in zip(right.column(m), sizes, strict=True)]]) for m in ("background", "target"))
-        each, none = block.losses(counts, totals), block.sizes == 0
-        return pa.table({"doc_id": block.ids, "n_tokens": pa.array(block.sizes), "target_loss": pa.array(each[1], mask=none), "background_loss": pa.array(each[0], mask=none), "score": pa.array(np.where(none, 0.0, each[0] - each[1]))})
+        each, none, ids, sizes = block.losses(counts, totals), block.sizes == 0, block.ids, block.sizes
+        del block, counts
+        give_back()
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(sizes), "target_loss": pa.array(each[1], mask=none), "background_loss": pa.array(each[0], mask=none), "score": pa.array(np.where(none, 0.0, each[0] - each[1]))})
 
     return marked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
