@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrow.llm.bpe import bpe_digests
-from lumenrow.llm.common import shared_dir
+from lumenrow.llm.common import shared_dir, written
 from lumenrow.llm.language import identify
 from lumenrow.llm.minhash import near_duplicates
 from lumenrow.llm.mixing import NONE, drawn
@@ -79,6 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        written(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return docs

@@ -8,6 +8,9 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: How tables are written.  In folders of the scheme ``file`` Hadoop starts a ``chmod`` process for each file and folder that it makes, and while
+#: one starts it shares all memory of the executor or driver, which counts twice then.  So no checksum files (pages have their own) and no markers.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 _OWN: dict[str, str] = {}
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # folders of the tables that ``cut`` has made
 
@@ -27,6 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="lumenrow-"))
 
 
+def written(df: DataFrame, path: str) -> None:
+    """Write a table of the operators' own, with few files beside its parts."""
+    df.write.options(**PLAIN).parquet(path)
+
+
 def cut(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends here and survives the loss of executors.
 
@@ -34,7 +42,7 @@ def cut(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    written(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     discard(*used)

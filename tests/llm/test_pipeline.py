@@ -6,7 +6,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from lumenrow.llm import bpe, language, minhash, mixing, quality
+from lumenrow.llm import bpe, common, language, minhash, mixing, quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -76,3 +76,22 @@ def test_odd_rows_and_columns(spark, tmp_path):
     assert ids(done[1][2]) == ids(done[2][2]) == [1, 1, None]  # 6 repeats itself; rows of one id stay together
     empty = stages(spark, docs.limit(0), tmp_path / "empty")
     assert [after.count() for _, _, after in empty] == [0] * 5
+
+
+def test_tables_are_written_with_few_processes(spark, tmp_path):
+    """A ``chmod`` for each part and its attempt's folder, and some for the table; none for checksum files and markers."""
+    jvm, parts = spark._jvm, 8
+    frame = spark.range(80).repartition(parts)
+    recording = jvm.jdk.jfr.Recording()
+    recording.enable("jdk.ProcessStart")
+    recording.start()
+    after = common.cut(frame, "few")
+    recording.stop()
+    at = jvm.java.nio.file.Path.of(str(tmp_path / "few.jfr"), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+    recording.dump(at)
+    recording.close()
+    started = [e.getString("command") for e in jvm.jdk.jfr.consumer.RecordingFile.readAllEvents(at)]
+    own = [c for c in started if c.startswith("chmod") and "/few-" in c]
+    assert len(own) <= 2 * parts + 6
+    assert sorted(r.id for r in after.collect()) == list(range(80))
+    common.discard(after)
