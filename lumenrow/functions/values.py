@@ -307,6 +307,14 @@ def compare(op: str, a: Value, b: Value) -> Value:
     return Value(f"IF({a.sql} IS NULL OR {b.sql} IS NULL, NULL, {str(truth[op]).lower()})", "bool")
 
 
+def is_key(op: str, a: Value, b: Value) -> bool:
+    """Whether ``compare`` gives an equality of one expression a side, by which Spark joins."""
+    a, b = coerced(a, b)
+    if op not in ("=", "IS") or "null" in (a.kind, b.kind) or op == "=" and (_exact(op, a, b) or _exact(op, b, a)):
+        return False
+    return _same_kind(a, b, None) is not None
+
+
 def _exact(op: str, a: Value, b: Value) -> str | None:
     """An integer expression against a real constant, as integers, so that the filter can be pushed down; integers against reals by value."""
     if a.kind not in ("int", "bool") or b.kind != "real":

@@ -119,6 +119,10 @@ class Catalog:
             raise NameFailure(f"no such table: {name}")
         return self.state.tables[low]
 
+    def repeatable(self, name: str) -> bool:
+        """Whether reading a table twice in one query gives the same rows, as far as Spark knows."""
+        return self.table(name).frame._jdf.queryExecution().analyzed().deterministic()
+
     def schema_table(self) -> Table:
         rows = [("table", t.name, t.name, i + 2, t.sql) for i, t in enumerate(self.state.tables.values())]
         rows += [("index", x.name, self.state.tables[x.table.lower()].name, len(rows) + i + 2, x.sql) for i, x in enumerate(self.state.indexes.values())]

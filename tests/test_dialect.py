@@ -324,3 +324,78 @@ def test_wrong(both, sql):
     with pytest.raises(EngineError) as e:
         both[1].execute(sql)
     assert not isinstance(e.value, Unsupported)
+
+
+FULL_BY_KEYS = """
+SELECT p.id, p.rowid, d.title, d.name FROM people p FULL JOIN depts d ON p.dept = d.dept AND p.age > 26
+SELECT p.id, d.title FROM people p FULL JOIN depts d ON d.dept = p.dept AND d.name = p.name COLLATE NOCASE
+SELECT * FROM people p FULL JOIN people q ON p.age IS q.age AND p.id < q.id
+SELECT l.*, r.* FROM sides_l l FULL JOIN sides_r r ON l.k IS r.k
+SELECT * FROM sides_l NATURAL FULL JOIN sides_r
+SELECT k, a.v, b.w, c.v FROM sides_l a FULL JOIN sides_r b USING (k) LEFT JOIN sides_l c USING (k)
+SELECT a.v, b.w, p.id FROM sides_l a LEFT JOIN people p ON p.id = a.k FULL JOIN sides_r b ON b.k = a.k + 1 AND p.age > 20
+SELECT a.v, b.w, d.title FROM sides_l a FULL JOIN sides_r b ON a.k = b.k FULL JOIN depts d ON d.dept = b.k * 10
+SELECT * FROM sides_l a FULL JOIN sides_r b USING (k) FULL JOIN sides_r c USING (k) FULL JOIN sides_l d USING (k)
+SELECT p.id FROM people p FULL JOIN depts d ON p.dept = d.dept WHERE d.title IS NULL
+SELECT d.title FROM people p FULL JOIN depts d ON p.dept = d.dept WHERE p.id IS NULL OR p.age > 30
+SELECT d.title, count(*), count(p.id), max(p.age), p.name FROM people p FULL JOIN depts d ON p.dept = d.dept AND p.age > 26 GROUP BY d.title
+SELECT DISTINCT k FROM sides_l FULL JOIN sides_r USING (k)
+SELECT q.id, (SELECT count(*) FROM people p FULL JOIN depts d ON p.dept = d.dept WHERE p.age < q.age) FROM people q
+SELECT r.k, w, r.k, w FROM sides_l l FULL JOIN sides_r r ON l.k = r.k
+SELECT k, r.k, k, l.k FROM sides_l l FULL JOIN sides_r r USING (k) WHERE w IS NOT NULL
+SELECT l.v, x FROM sides_l l FULL JOIN void ON x = k
+SELECT v, x FROM void FULL JOIN sides_l l ON x = k
+SELECT m.id, p.id, value FROM mixed m FULL JOIN people p ON m.value = p.id AND m.id <> 2
+SELECT m.id, n.id, value FROM mixed m FULL JOIN mixed n USING (value)
+""".strip().splitlines()
+FULL_OTHERWISE = """
+SELECT p.id, d.title FROM people p FULL JOIN depts d ON p.dept = d.dept AND 0
+SELECT p.id, l.v FROM people p FULL JOIN sides_l l ON p.score = l.k
+SELECT * FROM sides_l a FULL JOIN sides_r b USING (k) FULL JOIN sides_r c USING (k) FULL JOIN sides_l d USING (k) FULL JOIN sides_l e USING (k)
+SELECT a.v, b.w FROM sides_l a FULL JOIN sides_r b ON a.k < b.k
+""".strip().splitlines()
+
+
+@pytest.mark.parametrize("sql", FULL_BY_KEYS)
+def test_full_join_by_keys(both, sql):
+    """Spark's full outer join holds all rows that a key's pairs give before it passes on the first."""
+    lite, ours = both
+    same(ours.execute(sql), lite.execute(sql).fetchall(), False)
+    assert "FULL JOIN" not in ours.prepare(sql)[0].spark_sql()
+
+
+@pytest.mark.parametrize("sql", FULL_OTHERWISE)
+def test_full_join_otherwise(both, sql):
+    lite, ours = both
+    same(ours.execute(sql), lite.execute(sql).fetchall(), False)
+    assert "FULL JOIN" in ours.prepare(sql)[0].spark_sql()
+
+
+def test_full_join_reads_what_differs_from_reading_to_reading_once(spark):
+    ours = Session(spark)
+    ours.register("a", spark.range(40).selectExpr("cast(rand() * 20 as long) AS k", "id AS x"))
+    ours.register("b", spark.range(20).selectExpr("id AS k", "id AS y"))
+    rows = ours.execute("SELECT x, y FROM a FULL JOIN b ON a.k = b.k")
+    assert sorted(x for x, _ in rows if x is not None) == list(range(40)) and {y for _, y in rows if y is not None} == set(range(20))
+
+
+def test_full_join_passes_rows_on_within_a_key(spark):
+    """For one row, the join gives a small part of a key's nine million pairs."""
+    ours = Session(spark)
+    ours.register("a", spark.range(3000).selectExpr("id div 5000 AS k", "id AS x"))
+    ours.register("b", spark.range(3000).selectExpr("id div 5000 AS k", "id AS y"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = ours.sql("SELECT x, y FROM a FULL JOIN b ON a.k = b.k AND x + y >= 0").limit(1)
+        assert len(frame.collect()) == 1
+        given, plans = [], [frame._jdf.queryExecution().executedPlan()]
+        while plans:
+            p = plans.pop()
+            if p.nodeName() == "SortMergeJoin":
+                given.append(p.metrics().apply("numOutputRows").value())
+            inner = "executedPlan" if p.nodeName() == "AdaptiveSparkPlan" else "plan" if p.nodeName().endswith("QueryStage") else None
+            plans += [getattr(p, inner)()] if inner else [p.children().apply(i) for i in range(p.children().size())]
+        assert 0 < sum(given) < 100_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
