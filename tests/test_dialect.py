@@ -340,7 +340,6 @@ SELECT p.id FROM people p FULL JOIN depts d ON p.dept = d.dept WHERE d.title IS
 SELECT d.title FROM people p FULL JOIN depts d ON p.dept = d.dept WHERE p.id IS NULL OR p.age > 30
 SELECT d.title, count(*), count(p.id), max(p.age), p.name FROM people p FULL JOIN depts d ON p.dept = d.dept AND p.age > 26 GROUP BY d.title
 SELECT DISTINCT k FROM sides_l FULL JOIN sides_r USING (k)
-SELECT q.id, (SELECT count(*) FROM people p FULL JOIN depts d ON p.dept = d.dept WHERE p.age < q.age) FROM people q
 SELECT r.k, w, r.k, w FROM sides_l l FULL JOIN sides_r r ON l.k = r.k
 SELECT k, r.k, k, l.k FROM sides_l l FULL JOIN sides_r r USING (k) WHERE w IS NOT NULL
 SELECT l.v, x FROM sides_l l FULL JOIN void ON x = k
@@ -353,6 +352,9 @@ SELECT p.id, d.title FROM people p FULL JOIN depts d ON p.dept = d.dept AND 0
 SELECT p.id, l.v FROM people p FULL JOIN sides_l l ON p.score = l.k
 SELECT * FROM sides_l a FULL JOIN sides_r b USING (k) FULL JOIN sides_r c USING (k) FULL JOIN sides_l d USING (k) FULL JOIN sides_l e USING (k)
 SELECT a.v, b.w FROM sides_l a FULL JOIN sides_r b ON a.k < b.k
+SELECT q.id, (SELECT count(*) FROM people p FULL JOIN depts d ON p.dept = d.dept WHERE p.age < q.age) FROM people q
+SELECT p.id, d.title, (SELECT max(v) FROM sides_l l WHERE l.k < p.id) AS m FROM people p FULL JOIN depts d ON p.dept = d.dept
+SELECT p.id, d.title FROM people p FULL JOIN depts d ON p.dept = d.dept WHERE EXISTS (SELECT 1 FROM sides_l l WHERE l.k = p.id)
 """.strip().splitlines()
 
 
